@@ -41,10 +41,7 @@ def _csv_files(spark, sf_dir) -> str:
                 F.concat(F.lit("'"), F.col("deviceId"), F.lit("'")).alias(f"{prefix}.user-id"),
             ]
         else:
-            moment = F.timestamp_millis("time").cast("string")
-            seconds = F.concat(F.split(moment, "\\.")[0])
-            ms = F.lpad(F.pmod("time", F.lit(1000)).cast("string"), 3, "0")
-            iso = F.concat(F.replace(seconds, F.lit(" "), F.lit("T")), F.lit("."), ms)
+            iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
             columns = [
                 iso.alias("Time"),
                 F.col("event_id").alias(f"{prefix}.number"),

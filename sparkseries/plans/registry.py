@@ -36,7 +36,7 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(
         epoch_ms(F.col("ts")).alias(TIME),
         F.concat(F.lit("root.u"), F.col("user_id").cast("string")).alias(TAG),
-        "event_id", "event_type", "value", "props",
+        "event_id", "event_type", "value", "props", "ts",
     )
 
 
