@@ -22,8 +22,10 @@ def _as_long(text: Column) -> Column:
 
 
 def _as_double(text: Column) -> Column:
-    spelled = text.rlike(FOREIGN_DOUBLE_WORDS) & ~text.rlike(DOUBLE_WORDS)
-    return F.when(~spelled, text.try_cast("double"))
+    number = text.try_cast("double")
+    finite = F.abs(number) < F.lit(float("inf"))
+    foreign = text.rlike(FOREIGN_DOUBLE_WORDS) & ~text.rlike(DOUBLE_WORDS)
+    return F.when(finite, number).when(~foreign, number)
 
 
 def infer_type_rank(text: Column) -> Column:
@@ -49,8 +51,10 @@ def strip_outer_quotes(text: Column) -> Column:
 def safe_parse(text: Column, type_name: str) -> Column:
     """A cell as ``bigint``, ``double`` or ``string``; null when empty, ``null`` or not of the type."""
     rank = RANK_OF[type_name]
-    parsed = {LONG: _as_long, DOUBLE: _as_double, TEXT: lambda t: t}[rank](text)
-    return F.when(~_missing(text), parsed)
+    if rank == TEXT:
+        return F.when(~_missing(text), text)
+    # No empty cell and no "null" reads as a number.
+    return _as_long(text) if rank == LONG else _as_double(text)
 
 
 def quote_text(text: Column) -> Column:

@@ -45,8 +45,13 @@ class CsvSeries:
     def cells(self, line: Column) -> Column:
         return F.split(line, self.sep)
 
-    def time(self, text: Column) -> Column:
-        return parse_time(text, self.zone, self.honour_offset)
+    def values(self, line: Column) -> Column:
+        """The cells without their quotes."""
+        return F.transform(self.cells(line), strip_outer_quotes)
+
+    def time(self, line: Column) -> Column:
+        first = F.get(F.split(line, self.sep, 2), F.lit(0))
+        return parse_time(first, self.zone, self.honour_offset)
 
     def name(self, text: Column) -> Column:
         return normalize_name(text) if self.normalize else text
@@ -180,18 +185,17 @@ def read_csv_series(
         ),
     )
     lookup = cut(headers.select("file", "header", TAG, positions.alias("positions")))
+    line = F.col("value")
     rows = _with_headers(lines, lookup).select(
-        TAG, "positions", options.cells(F.col("value")).alias("cells")
+        options.time(line).alias(TIME), TAG, "positions", options.values(line).alias("cells")
     )
     values = [
         safe_parse(
-            strip_outer_quotes(F.get("cells", F.get("positions", F.lit(i)))),
-            f.dataType.simpleString(),
+            F.get("cells", F.get("positions", F.lit(i))), f.dataType.simpleString()
         ).alias(f.name, metadata=f.metadata)
         for i, f in enumerate(sensors)
     ]
-    time = options.time(F.get("cells", F.lit(0)))
-    return rows.select(time.alias(TIME), TAG, *values).where(F.col(TIME).isNotNull())
+    return rows.where(F.col(TIME).isNotNull()).select(TIME, TAG, *values)
 
 
 def read_csv_points(
@@ -223,16 +227,15 @@ def read_csv_points(
             columns.groupBy("file").agg(described.alias("columns")), "file"
         )
     )
+    line = F.col("value")
     rows = _with_headers(lines, lookup).select(
-        options.time(F.get(options.cells(F.col("value")), F.lit(0))).alias(TIME),
-        TAG,
-        "columns",
-        options.cells(F.col("value")).alias("cells"),
+        options.time(line).alias(TIME), TAG, "columns", options.values(line).alias("cells")
     )
-    text = strip_outer_quotes(F.get("cells", F.col("column.pos")))
     cells = rows.where(F.col(TIME).isNotNull()).select(
         TIME, TAG, "cells", F.explode("columns").alias("column")
-    ).select(TIME, TAG, "column.field", "column.rank", text.alias("text"))
+    ).select(
+        TIME, TAG, "column.field", "column.rank", F.get("cells", F.col("column.pos")).alias("text")
+    )
     typed = [
         F.when(F.col("rank") == r, safe_parse(F.col("text"), n)).alias(v)
         for (r, n), v in zip(NAME_OF.items(), ("v_long", "v_double", "v_text"))
