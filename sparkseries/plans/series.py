@@ -19,7 +19,7 @@ from ..operators import (
     raw_query,
     result_size,
 )
-from ..sinks import write_table, write_text
+from ..sinks import TIME_CHUNK_MS, write_table, write_text
 from ..sources import number_lines, read_lines, scan_orc, scan_parquet
 from ..storage import new_path
 from .registry import EVENT_POINTS, event_points, registered, table
@@ -218,7 +218,7 @@ def suffix_scan(spark, sf_dir):
 def stored_parquet(spark, sf_dir):
     path = new_path(spark, "scan-parquet")
     write_table(event_points(spark, sf_dir), path, "parquet", "chunk")
-    return scan_parquet(spark, path, ["value"], TENTH, TWENTIETH)
+    return scan_parquet(spark, path, ["value"], TENTH, TWENTIETH, chunk=TIME_CHUNK_MS)
 
 
 @registered("scan_orc", f"""

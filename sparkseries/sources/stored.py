@@ -9,8 +9,14 @@ from .. import TAG, TIME
 from ..operators.queries import between
 
 
-def _scan(table: DataFrame, fields, start, end, device, suffix, time, tag) -> DataFrame:
+def _scan(table: DataFrame, fields, start, end, device, suffix, time, tag, chunk) -> DataFrame:
     rows = between(table, start, end, time)
+    if "time_chunk" in table.columns:
+        # A record is never older than the start of its chunk: folders outside are not opened.
+        if end is not None:
+            rows = rows.where(F.col("time_chunk") <= F.lit(end))
+        if start is not None and chunk is not None:
+            rows = rows.where(F.col("time_chunk") >= F.lit(start - start % chunk))
     if device is not None:
         rows = rows.where(F.col(tag) == F.lit(device))
     if suffix is not None:
@@ -19,16 +25,24 @@ def _scan(table: DataFrame, fields, start, end, device, suffix, time, tag) -> Da
 
 
 def scan_parquet(
-    spark: SparkSession, path: str, fields: list[str], start=None, end=None,
-    device=None, suffix: str | None = None, time: str = TIME, tag: str = TAG,
+    spark: SparkSession, path: str, fields: list[str], start: int | None = None,
+    end: int | None = None, device=None, suffix: str | None = None, time: str = TIME,
+    tag: str = TAG, chunk: int | None = None,
 ) -> DataFrame:
-    """Time, device and the named fields of the rows in a closed time range."""
-    return _scan(spark.read.parquet(path), fields, start, end, device, suffix, time, tag)
+    """Time, device and the named fields of the rows in a closed time range.
+
+    ``chunk`` is the chunk width the table was written with, if it has time chunks;
+    with it, chunks before the range are skipped as well.
+    """
+    table = spark.read.parquet(path)
+    return _scan(table, fields, start, end, device, suffix, time, tag, chunk)
 
 
 def scan_orc(
-    spark: SparkSession, path: str, fields: list[str], start=None, end=None,
-    device=None, suffix: str | None = None, time: str = TIME, tag: str = TAG,
+    spark: SparkSession, path: str, fields: list[str], start: int | None = None,
+    end: int | None = None, device=None, suffix: str | None = None, time: str = TIME,
+    tag: str = TAG, chunk: int | None = None,
 ) -> DataFrame:
     """As :func:`scan_parquet`, from ORC files."""
-    return _scan(spark.read.orc(path), fields, start, end, device, suffix, time, tag)
+    table = spark.read.orc(path)
+    return _scan(table, fields, start, end, device, suffix, time, tag, chunk)
