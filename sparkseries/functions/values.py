@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from ..types import DOUBLE, LONG, RANK_OF, TEXT
 from .times import INTEGER
 
-# Words that a double may be spelled with; other spellings are text.
-DOUBLE_WORDS = "^\\s*[+-]?(NaN|Infinity)\\s*$"
-FOREIGN_DOUBLE_WORDS = "(?i)^\\s*[+-]?(inf|infinity|nan)\\s*$"
-
-
-def _missing(text: Column) -> Column:
+# How a double may be written; any other text is not a number.
+DOUBLE_SHAPE = (
+    "^\\s*[+-]?("
+    "NaN|Infinity"
+    "|([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]?"
+    "|0[xX]([0-9a-fA-F]+\\.?|[0-9a-fA-F]*\\.[0-9a-fA-F]+)[pP][+-]?[0-9]+[dDfF]?"
+    ")\\s*$"
+)
+
+
+def missing(text: Column) -> Column:
+    """An empty cell, or the word null."""
     return (text == "") | (F.lower(text) == "null")
 
 
@@ -22,10 +28,8 @@ def _as_long(text: Column) -> Column:
 
 
 def _as_double(text: Column) -> Column:
-    number = text.try_cast("double")
-    finite = F.abs(number) < F.lit(float("inf"))
-    foreign = text.rlike(FOREIGN_DOUBLE_WORDS) & ~text.rlike(DOUBLE_WORDS)
-    return F.when(finite, number).when(~foreign, number)
+    # The shape is tested first: a failing cast costs far more than a failing match.
+    return F.when(text.rlike(DOUBLE_SHAPE), text.try_cast("double"))
 
 
 def infer_type_rank(text: Column) -> Column:
@@ -34,9 +38,9 @@ def infer_type_rank(text: Column) -> Column:
     Quotes are not removed, so a quoted number is text.
     """
     return (
-        F.when(text.isNull() | _missing(text), F.lit(None).cast("int"))
+        F.when(text.isNull() | missing(text), F.lit(None).cast("int"))
         .when(_as_long(text).isNotNull(), F.lit(LONG))
-        .when(_as_double(text).isNotNull(), F.lit(DOUBLE))
+        .when(text.rlike(DOUBLE_SHAPE), F.lit(DOUBLE))
         .otherwise(F.lit(TEXT))
     )
 
@@ -52,11 +56,16 @@ def safe_parse(text: Column, type_name: str) -> Column:
     """A cell as ``bigint``, ``double`` or ``string``; null when empty, ``null`` or not of the type."""
     rank = RANK_OF[type_name]
     if rank == TEXT:
-        return F.when(~_missing(text), text)
+        return F.when(~missing(text), text)
     # No empty cell and no "null" reads as a number.
     return _as_long(text) if rank == LONG else _as_double(text)
 
 
+def pad_row(cells: Column, width: int) -> Column:
+    """A row of cells with nulls where it is shorter than the schema."""
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get(cells, i))
+
+
 def quote_text(text: Column) -> Column:
     """Text value of a point payload."""
     return F.concat(F.lit('"'), text, F.lit('"'))

@@ -14,6 +14,8 @@ from .ranking import GROUP_ROWS_ONE_TASK, number_rows
 MAX_FIELDS = 700
 BATCH_POINTS = 1000
 
+CONDITIONAL_NAMES = 64
+
 
 def sensor_columns(df: DataFrame, time: str = TIME, tag: str = TAG) -> list[str]:
     return [c for c in df.columns if c not in (time, tag)]
@@ -64,11 +66,26 @@ def wide_to_typed_long(
     return null_skip(long, names[1:])
 
 
+def spread(
+    df: DataFrame, keys: list[str], name: str, names: list, value: str
+) -> DataFrame:
+    """One row per key and one column per listed name, holding the largest value.
+
+    A few names are picked by conditional aggregates, which takes one shuffle; a pivot
+    takes two, but its work per row does not grow with the number of names.
+    """
+    listed = df.where(F.col(name).isin(names))
+    if len(names) > CONDITIONAL_NAMES:
+        return listed.groupBy(*keys).pivot(name, names).agg(F.max(value))
+    columns = [F.max(F.when(F.col(name) == n, F.col(value))).alias(str(n)) for n in names]
+    return listed.groupBy(*keys).agg(*columns)
+
+
 def long_to_wide(
     df: DataFrame, fields: list[str], time: str = TIME, tag: str = TAG
 ) -> DataFrame:
-    """Back to one row per device and time; the field list is explicit, so one pass suffices."""
-    return df.groupBy(tag, time).pivot("field", fields).agg(F.max("value"))
+    """Back to one row per device and time, with the listed fields as columns."""
+    return spread(df, [tag, time], "field", fields, "value")
 
 
 def points(long: DataFrame, time: str = TIME, tag: str = TAG) -> DataFrame:

@@ -7,12 +7,12 @@ stored time column itself, so they reach the file scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import TAG, TIME
 from ..functions import bucket_start, epoch_ms, time_bound
-from .layout import null_skip
+from .layout import null_skip, spread
 from .ranking import first_rows, first_rows_per_group
 
 MAX_FILLED_BUCKETS = 1_000_000_000
@@ -85,11 +85,8 @@ def align_long_query(
 
     Points that share series and time are represented by their largest value.
     """
-    keys = _groups(device, tag)
-    points = _of_device(df, device, tag).where(
-        F.col(name).isin(series) & F.col(value).isNotNull()
-    )
-    return points.groupBy(*keys, time).pivot(name, series).agg(F.max(value))
+    points = _of_device(df, device, tag).where(F.col(value).isNotNull())
+    return spread(points, [*_groups(device, tag), time], name, series, value)
 
 
 def count_query(
@@ -134,9 +131,12 @@ def downsample(
     """
     keys = _groups(device, tag)
     rows = between(_of_device(df, device, tag), start, end, time, closed=False)
-    buckets = rows.withColumn("bucket", bucket_start(_time_ms(df, time), width, origin))
-    counted = buckets.groupBy(*keys, "bucket").agg(
-        *[AGGREGATES[a](field).alias("points" if a == "count" else a) for a in aggregates]
+    start_of, as_ms = _bucket(df, time, width, origin)
+    counted = (
+        rows.withColumn("bucket", start_of)
+        .groupBy(*keys, "bucket")
+        .agg(*[AGGREGATES[a](field).alias("points" if a == "count" else a) for a in aggregates])
+        .withColumn("bucket", as_ms(F.col("bucket")))
     )
     if not fill:
         return counted
@@ -149,13 +149,16 @@ def downsample(
     return filled.fillna(0, ["points"]) if "count" in aggregates else filled
 
 
-def _time_ms(df: DataFrame, time: str) -> Column:
+def _bucket(df: DataFrame, time: str, width: int, origin: int):
+    """The bucket of a row in the type of its time, and how to turn that into milliseconds.
+
+    Timestamps are converted once per bucket, after counting.
+    """
     kind = dict(df.dtypes)[time]
-    if kind == "timestamp_ntz":
-        return epoch_ms(F.col(time))
-    if kind == "timestamp":
-        return F.unix_millis(time)
-    return F.col(time)
+    if kind not in ("timestamp", "timestamp_ntz"):
+        return bucket_start(F.col(time), width, origin), lambda c: c
+    window = F.window(time, f"{width} milliseconds", startTime=f"{origin % width} milliseconds")
+    return window["start"], epoch_ms if kind == "timestamp_ntz" else F.unix_millis
 
 
 def _bucket_grid(devices: DataFrame | None, df, first: int, number: int, width: int) -> DataFrame:

@@ -21,29 +21,51 @@ def number_rows(
     order: list[Column | str],
     name: str = "row_no",
     group_rows: int = GROUP_ROWS_ONE_TASK,
+    largest: int | None = None,
 ) -> DataFrame:
     """1-based position of every row inside its group, exact whatever the group sizes are.
 
     Rows that tie on ``order`` are told apart by their remaining columns. The size
-    of the largest group is measured first: small groups take an ordinary window,
-    larger ones are cut into range slices that are counted and sorted separately.
+    of the largest group is measured first, unless ``largest`` tells it: small groups take
+    an ordinary window, larger ones are cut into range slices that are counted and
+    sorted separately.
     """
-    order = [F.col(c) if isinstance(c, str) else c for c in order]
-    ties = [F.col(f"`{c}`") for c in df.columns]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.agg(F.max("n")).first()[0] or 0
+    order = total_order(df, keys, order)
     if largest <= group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order, *ties)
+        window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-    return _number_slices(df, keys, order, ties, name)
+    return _number_slices(df, keys, order, name)
+
+
+def total_order(df: DataFrame, keys: list[str], order: list[Column | str]) -> list[Column]:
+    """``order`` followed by the columns that are not in it yet."""
+    named = {c for c in order if isinstance(c, str)} | set(keys)
+    first = [F.col(f"`{c}`") if isinstance(c, str) else c for c in order]
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in named]
+    return (first + rest) or [F.lit(0)]
 
 
-def _number_slices(df, keys, order, ties, name) -> DataFrame:
+def _number_slices(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     by_key = [F.col(f"`{k}`") for k in keys]
+    ties = [F.col(f"`{c}`") for c in df.columns]
     # Equal rows become one row with a count, so no value can fill a slice by itself.
-    folded = df.groupBy(*ties).agg(F.count(F.lit(1)).alias("__copies"))
+    # Grouping does not tell -0.0 from 0.0, so the sign is a key of its own.
+    zeros = [c for c, kind in df.dtypes if kind in ("double", "float")]
+    signs = {c: F.col(f"`{c}`").cast("string") == "-0.0" for c in zeros}
+    folded = df.groupBy(*ties, *[s.alias(f"__sign_{c}") for c, s in signs.items()]).agg(
+        F.count(F.lit(1)).alias("__copies")
+    )
+    signed = [
+        F.when(F.col(f"`__sign_{c}`"), F.lit(-0.0).cast(kind)).otherwise(F.col(f"`{c}`")).alias(c)
+        if c in signs else F.col(f"`{c}`")
+        for c, kind in df.dtypes
+    ]
+    folded = folded.select(*signed, "__copies")
     sliced = cut(
-        folded.repartitionByRange(*by_key, *order, *ties)
+        folded.repartitionByRange(*by_key, *order)
         .withColumn("__slice", F.spark_partition_id())
         .withColumn("__key", F.struct(F.lit(0), *by_key))
     )
@@ -58,7 +80,7 @@ def _number_slices(df, keys, order, ties, name) -> DataFrame:
             "__slice", "__key", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
         )
     )
-    upto = Window.partitionBy("__slice", "__key").orderBy(*order, *ties).rowsBetween(
+    upto = Window.partitionBy("__slice", "__key").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0
     )
     first = F.col("__before") + F.col("__upto") - F.col("__copies") + 1
@@ -89,13 +111,29 @@ def _unfold(numbered: DataFrame, ties: list[Column], name: str) -> DataFrame:
 
 def first_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
     """The first ``n`` rows in a total order, through one task only while ``n`` is small."""
-    ties = [F.col(f"`{c}`") for c in df.columns]
     if n <= TOP_N_ONE_TASK:
-        return df.orderBy(*order, *ties).limit(n)
+        return df.orderBy(*total_order(df, [], order)).limit(n)
+    if isinstance(order[0], str):
+        df = _leading_part(df, order[0], n)
     numbered = number_rows(df, [], order, name="__row_no")
     return numbered.where(F.col("__row_no") <= n).drop("__row_no")
 
 
+def _leading_part(df: DataFrame, column: str, n: int) -> DataFrame:
+    """Rows up to a value of ``column`` below which at least ``n`` rows are found.
+
+    The value is an estimate, but the rows below it are counted: if there are too few,
+    nothing is left out.
+    """
+    total = df.count()
+    if n * 2 > total:
+        return df
+    share = n / total * 1.02 + 0.001
+    bound = df.agg(F.percentile_approx(column, share, F.lit(10_000)).alias("b")).first()["b"]
+    part = df.where(F.col(column).isNull() | (F.col(column) <= F.lit(bound)))
+    return part if part.count() >= n else df
+
+
 def first_rows_per_group(
     df: DataFrame, keys: list[str], order: list[Column | str], n: int
 ) -> DataFrame:
@@ -106,9 +144,7 @@ def first_rows_per_group(
     """
     conf = df.sparkSession.conf
     if n <= int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        order = [F.col(c) if isinstance(c, str) else c for c in order]
-        ties = [F.col(f"`{c}`") for c in df.columns]
-        window = Window.partitionBy(*keys).orderBy(*order, *ties)
+        window = Window.partitionBy(*keys).orderBy(*total_order(df, keys, order))
         numbered = df.withColumn("__row_no", F.row_number().over(window))
     else:
         numbered = number_rows(df, keys, order, name="__row_no")

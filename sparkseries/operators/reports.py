@@ -92,7 +92,7 @@ def latency_report(
     if needed > MAX_REPEATS:
         raise ValueError(f"{needed} repeats of one parameter: aggregate query_latencies() instead")
     numbers = list(range(1, max(needed, repeats or 0) + 1))
-    numbered = number_rows(found, ["param"], order, name="repeat")
+    numbered = number_rows(found, ["param"], order, name="repeat", largest=needed)
     repeat = [
         F.max(F.when(F.col("repeat") == i, F.col("latency"))).alias(f"repeat{i}") for i in numbers
     ]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import TAG, TIME
@@ -14,11 +16,28 @@ EXTENSION_COPIES = 1000
 SHUFFLED_SHARE = 0.1
 
 
-def jitter_time(df: DataFrame, std_dev: float = 0.0, seed: int = 0, time: str = TIME) -> DataFrame:
-    """Move integer times by a normally distributed amount, to make out-of-order input."""
+def jitter_time(
+    df: DataFrame,
+    std_dev: float = 0.0,
+    seed: int = 0,
+    time: str = TIME,
+    by: list[str] | None = None,
+) -> DataFrame:
+    """Move integer times by a normally distributed amount, to make out-of-order input.
+
+    The amount is drawn from a hash of the row (or of the columns ``by``), so a repeated
+    task moves a row to the same place.
+    """
     if not std_dev:
         return df
-    moved = F.col(time) + (F.randn(seed) * F.lit(float(std_dev))).cast("bigint")
+    columns = [F.col(f"`{c}`") for c in by or df.columns]
+
+    def uniform(stream: int) -> Column:
+        draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(stream), *columns), F.lit(1 << 53))
+        return (draw + 1) / F.lit(float(1 << 53))
+
+    normal = F.sqrt(F.lit(-2.0) * F.ln(uniform(1))) * F.cos(F.lit(2 * math.pi) * uniform(2))
+    moved = F.col(time) + (normal * F.lit(float(std_dev))).cast("bigint")
     return df.withColumn(time, moved)
 
 
@@ -71,4 +90,4 @@ def extend_series(
 
 def split_by_id(readings: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Readings of listed ids; write the result partitioned by the id to get one folder each."""
-    return readings.join(ids.select(on).distinct(), on, "left_semi")
+    return readings.join(ids.select(on), on, "left_semi")

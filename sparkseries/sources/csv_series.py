@@ -15,6 +15,7 @@ from ..functions import (
     field_part,
     file_stem,
     infer_type_rank,
+    missing,
     normalize_name,
     parse_time,
     safe_parse,
@@ -46,8 +47,10 @@ class CsvSeries:
         return F.split(line, self.sep)
 
     def values(self, line: Column) -> Column:
-        """The cells without their quotes."""
-        return F.transform(self.cells(line), strip_outer_quotes)
+        """The cells without their quotes; a line without any quote is only split."""
+        quoted = line.contains("'") | line.contains('"')
+        cells = self.cells(line)
+        return F.when(quoted, F.transform(cells, strip_outer_quotes)).otherwise(cells)
 
     def time(self, line: Column) -> Column:
         first = F.get(F.split(line, self.sep, 2), F.lit(0))
@@ -176,14 +179,13 @@ def read_csv_series(
         )
         schema = to_struct(merge_schemas(columns.select("field", "type_rank", "precision")))
     sensors = [f for f in schema.fields if f.name not in (TIME, TAG)]
-    # The last of several columns with one name wins.
+    # The last of several columns with one name wins, so names are looked up from the end.
     names = F.array(*[F.lit(f.name) for f in sensors])
+    from_end = F.transform(names, lambda n: F.array_position(F.col("backward"), n))
     positions = F.transform(
-        names,
-        lambda n: F.array_max(
-            F.transform(F.col("fields"), lambda x, i: F.when(x == n, i + 1))
-        ),
+        from_end, lambda p: F.when(p > 0, F.size("backward") - p.cast("int") + 1)
     )
+    headers = headers.select("file", "header", TAG, F.reverse("fields").alias("backward"))
     lookup = cut(headers.select("file", "header", TAG, positions.alias("positions")))
     line = F.col("value")
     rows = _with_headers(lines, lookup).select(
@@ -240,5 +242,10 @@ def read_csv_points(
         F.when(F.col("rank") == r, safe_parse(F.col("text"), n)).alias(v)
         for (r, n), v in zip(NAME_OF.items(), ("v_long", "v_double", "v_text"))
     ]
-    points = cells.select(TIME, TAG, "field", *typed)
+    points = cells.where(F.col("text").isNotNull() & ~missing(F.col("text"))).select(
+        TIME, TAG, "field", *typed
+    )
+    if catalog is None and options.infer_rows is None:
+        # Every cell was seen when its type was inferred, so every cell fits.
+        return points
     return null_skip(points, ["v_long", "v_double", "v_text"])

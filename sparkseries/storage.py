@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only after its rows and bytes have been counted.
 BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_MAX_BYTES = 128 * 1024 * 1024
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -15,6 +15,7 @@ from sparkseries.functions import (
     file_stem,
     infer_type_rank,
     normalize_name,
+    pad_row,
     parse_time,
     relative_path,
     safe_parse,
@@ -92,6 +93,12 @@ def test_quotes(spark):
     assert sql_identifier("a.b-c") == '"a.b-c"'
 
 
+def test_pad_row(spark):
+    rows = [["a"], ["a", "b", "c"], []]
+    got = apply(spark, lambda c: pad_row(c, 3), rows, "array<string>")
+    assert got == [["a", None, None], ["a", "b", "c"], [None, None, None]]
+
+
 def test_parse_time(spark):
     texts = [
         "2021-08-05T08:24:36.000+08:00", "2021-08-05T08:24:36.000Z", "2021-08-05T08:24:36.123",

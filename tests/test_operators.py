@@ -161,7 +161,11 @@ def test_transforms(wide, spark):
     series = spark.range(2000).select(F.col("id").alias("time"))
     moved = jitter_time(series, 50.0, seed=1)
     assert rows(moved) != rows(series)
+    assert rows(moved) == rows(jitter_time(series.repartition(7), 50.0, seed=1))
     assert abs(moved.agg(F.avg("time")).first()[0] - 999.5) < 10
+    amounts = spark.range(20000).select(F.lit(0).cast("long").alias("time"), "id")
+    spread = jitter_time(amounts, 1000.0).agg(F.stddev("time")).first()[0]
+    assert 970 < spread < 1030
     batches = spark.range(5000).select("id", F.expr("id div 100").alias("batch"))
     mixed = [r.id for r in shuffle_batches(batches, "batch", "id", share=0.5).collect()]
     assert sorted(mixed) == list(range(5000)) and mixed != list(range(5000))

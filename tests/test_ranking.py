@@ -27,6 +27,7 @@ def skewed():
     rows += [("hot", rng.randrange(1000), rng.random()) for _ in range(400)]
     rows += [(rng.choice("abcde"), rng.randrange(50), rng.random()) for _ in range(300)]
     rows += [(None, rng.randrange(50), rng.random()) for _ in range(100)]
+    rows += [("zero", 1, -0.0), ("zero", 2, 0.0), ("zero", 3, -0.0), ("zero", 4, float("nan"))]
     rng.shuffle(rows)
     return rows
 
