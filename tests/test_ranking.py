@@ -44,7 +44,7 @@ def test_number_rows(spark, skewed, limit, keys, monkeypatch):
     rows = sorted((tuple([r.n, r.k, r.t, r.v]) for r in got.collect()), key=repr)
     key = (lambda r: r[0]) if keys else (lambda r: 0)
     ordered = lambda r: (r[1], r[0] is not None, r[0] or "", r[2])
-    assert rows == brute(skewed, key, ordered)
+    assert repr(rows) == repr(brute(skewed, key, ordered))
 
 
 def test_number_rows_descending(spark, skewed):
@@ -69,7 +69,7 @@ def test_large_limits_take_the_split_route(spark, skewed, monkeypatch):
     monkeypatch.setattr(ranking, "TOP_N_ONE_TASK", 10)
     monkeypatch.setattr(ranking.number_rows, "__defaults__", ("row_no", 0))
     large = first_rows(df, ["t"], 700).collect()
-    assert sorted(map(tuple, small), key=repr) == sorted(map(tuple, large), key=repr)
+    assert sorted(map(repr, small)) == sorted(map(repr, large))
 
 
 def test_first_rows_per_group(spark, skewed):
@@ -90,6 +90,6 @@ def test_grouping_and_extension_agree_on_both_routes(spark, skewed):
     assert a == b
     assert max(len(r.datapoints) for r in group_points(long, 50, group_rows=0).collect()) == 50
     c, d = (
-        sorted(map(tuple, extend_series(df, 3, group_rows=n).collect())) for n in (0, 10_000)
+        sorted(map(repr, extend_series(df, 3, group_rows=n).collect())) for n in (0, 10_000)
     )
     assert c == d and len(c) == 4 * len(skewed)
