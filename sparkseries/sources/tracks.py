@@ -1,4 +1,8 @@
-"""Sources with a fixed schema: trajectories, weather records and meter readings."""
+"""Sources with a fixed schema: trajectories, weather records and meter readings.
+
+``path`` is the data folder, which device names are relative to; ``files`` restricts
+the reader to some of the files below it.
+"""
 
 from __future__ import annotations
 
@@ -75,14 +79,18 @@ def _root(path: str) -> str:
 
 
 def read_geolife(
-    spark: SparkSession, path: str, zone: str = "UTC", twelve_hours: bool = False
+    spark: SparkSession,
+    path: str,
+    zone: str = "UTC",
+    twelve_hours: bool = False,
+    files: list[str] | None = None,
 ) -> DataFrame:
     """GPS tracks ``lat,lon,0,altitude,days,date,time``; the device is the folder of the track.
 
     The six header lines of a file hold no date in column six, so they are dropped
     like any other line that is not a record.
     """
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, files or path)
     items = F.col("items")
     rows = lines.select("file", F.split("value", ",").alias("items"))
     moment = F.concat(F.get(items, F.lit(5)), F.lit(" "), F.get(items, F.lit(6)))
@@ -101,6 +109,7 @@ def read_noaa(
     path: str,
     device_from: str = "file",
     sentinel_to_null: bool = False,
+    files: list[str] | None = None,
 ) -> DataFrame:
     """Daily weather records of fixed width; the header line is not a record and drops out.
 
@@ -109,7 +118,7 @@ def read_noaa(
     def part(span):
         return F.trim(F.substring("value", span[0] + 1, span[1] - span[0]))
 
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, files or path)
     day = part(NOAA_DATE)
     iso = F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2))
     days = F.when(day.rlike("^\\d{8}$"), F.unix_date(iso.try_cast("date")))
@@ -136,10 +145,11 @@ def read_tdrive(
     zone: str = "UTC",
     twelve_hours: bool = False,
     device_from: str = "file",
+    files: list[str] | None = None,
 ) -> DataFrame:
     """Taxi positions ``id,time,lon,lat`` without header; device from file name or column ``id``."""
     items = F.col("items")
-    rows = read_lines(spark, path).select("file", F.split("value", ",").alias("items"))
+    rows = read_lines(spark, files or path).select("file", F.split("value", ",").alias("items"))
     if device_from == "file":
         device = F.replace(relative_path(F.col("file"), _root(path)), F.lit(".txt"), F.lit(""))
     else:
@@ -153,10 +163,10 @@ def read_tdrive(
     )
 
 
-def read_redd(spark: SparkSession, path: str) -> DataFrame:
+def read_redd(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
     """Meter readings ``epoch_seconds value``; the device is the file path in one word."""
     items = F.col("items")
-    rows = read_lines(spark, path).select("file", F.split("value", " ").alias("items"))
+    rows = read_lines(spark, files or path).select("file", F.split("value", " ").alias("items"))
     seconds = F.get(items, F.lit(0))
     time = F.when(seconds.rlike(INTEGER), seconds_to_ms(seconds.try_cast("bigint")))
     name = F.replace(relative_path(F.col("file"), _root(path)), F.lit(".dat"), F.lit(""))
