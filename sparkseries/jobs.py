@@ -172,7 +172,7 @@ def wide_scan(spark: SparkSession, out: str, sensors: int, rows: int = 1) -> dic
     for file_format, scan in (("parquet", scan_parquet), ("orc", scan_orc)):
         path = f"{out}/{file_format}-{sensors}"
         start = clock.perf_counter()
-        write_table(generate_wide(spark, rows, sensors), path, file_format, "single")
+        generate_wide(spark, rows, sensors).write.format(file_format).mode("overwrite").save(path)
         written = clock.perf_counter()
         by_name = {"device": "device"} if file_format == "parquet" else {"suffix": "device"}
         found = scan(spark, path, ["s1"], *SCAN_RANGE, **by_name)

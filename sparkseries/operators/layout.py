@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import TAG, TIME
+from ..functions.sql import (
+    any_present_sql,
+    columns_sql,
+    name_sql,
+    present_cells_sql,
+    texts_sql,
+)
 from .ranking import GROUP_ROWS_ONE_TASK, number_rows
 
 # Sensors per table and points per payload batch.
@@ -23,15 +30,12 @@ def sensor_columns(df: DataFrame, time: str = TIME, tag: str = TAG) -> list[str]
 
 def any_present(fields: list[str]) -> Column:
     """True when at least one field is not null (NaN is a value)."""
-    return F.coalesce(*[F.when(F.col(f"`{f}`").isNotNull(), F.lit(1)) for f in fields]).isNotNull()
+    return F.expr(any_present_sql(fields))
 
 
 def present_cells(fields: list[str]) -> Column:
-    """Number of fields that are not null; added up in groups to keep the expression shallow."""
-    ones = [F.col(f"`{f}`").isNotNull().cast("bigint") for f in fields]
-    while len(ones) > 1:
-        ones = [reduce(lambda a, b: a + b, ones[i : i + 64]) for i in range(0, len(ones), 64)]
-    return ones[0]
+    """Number of fields that are not null."""
+    return F.expr(present_cells_sql(fields))
 
 
 def null_skip(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -44,7 +48,10 @@ def wide_to_long(
 ) -> DataFrame:
     """One row ``(deviceId, time, field, value)`` per present cell; fields share one type."""
     fields = fields or sensor_columns(df, time, tag)
-    return df.unpivot([tag, time], fields, "field", "value").where(F.col("value").isNotNull())
+    cells = F.expr("array(" + ", ".join(map(name_sql, fields)) + ")")
+    long = df.select(tag, time, F.posexplode(cells).alias("__pos", "value"))
+    name = F.expr(f"get({texts_sql(fields)}, __pos)").alias("field")
+    return long.where(F.col("value").isNotNull()).select(tag, time, name, "value")
 
 
 def wide_to_typed_long(
@@ -52,18 +59,21 @@ def wide_to_typed_long(
 ) -> DataFrame:
     """One row per present cell with the value in ``v_long``, ``v_double`` or ``v_text``."""
     fields = fields or sensor_columns(df, time, tag)
+    kinds = {"v_long": "bigint", "v_double": "double", "v_text": "string"}
+    slots = {"bigint": "v_long", "int": "v_long", "double": "v_double", "float": "v_double"}
     types = dict(df.dtypes)
-    slots = {"bigint": 0, "int": 0, "double": 1, "float": 1}
-    casts = ["bigint", "double", "string"]
-    cells = []
-    for f in fields:
-        slot = slots.get(types[f], 2)
-        values = [F.lit(None).cast(c) for c in casts]
-        values[slot] = F.col(f"`{f}`").cast(casts[slot])
-        cells += [F.lit(f), *values]
-    names = ["field", "v_long", "v_double", "v_text"]
-    long = df.select(tag, time, F.stack(F.lit(len(fields)), *cells).alias(*names))
-    return null_skip(long, names[1:])
+    members = {v: [f for f in fields if slots.get(types[f], "v_text") == v] for v in kinds}
+    # Cells of one type side by side; a cell is found by the type and its place in that array.
+    arrays = [F.expr(columns_sql(members[v], kinds[v])).alias(f"__{v}") for v in kinds]
+    ordered = [f for v in kinds for f in members[v]]
+    start, parts = 0, []
+    for v in kinds:
+        parts.append(F.expr(f"get(__{v}, __pos - {start})").alias(v))
+        start += len(members[v])
+    numbers = F.expr(f"explode(sequence(0, {len(ordered) - 1}))").alias("__pos")
+    cells = df.select(tag, time, *arrays).select("*", numbers)
+    name = F.expr(f"get({texts_sql(ordered)}, __pos)").alias("field")
+    return null_skip(cells.select(tag, time, name, *parts), list(kinds))
 
 
 def spread(
@@ -125,27 +135,19 @@ def sparse_rows(
     """Per record the names, types and texts of its present fields; empty records are dropped."""
     fields = fields or sensor_columns(df, time, tag)
     types = dict(df.dtypes)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("name"),
-                F.lit(types[f]).alias("type"),
-                F.col(f"`{f}`").cast("string").alias("value"),
-            )
-            for f in fields
-        ]
+    cells = F.arrays_zip(
+        F.expr(texts_sql(fields)).alias("name"),
+        F.expr(texts_sql([types[f] for f in fields])).alias("type"),
+        F.expr(columns_sql(fields, "string")).alias("value"),
     )
-    present = F.filter(cells, lambda c: c["value"].isNotNull())
-    return (
-        df.select(tag, time, present.alias("cells"))
-        .where(F.size("cells") > 0)
-        .select(
-            tag,
-            time,
-            F.col("cells.name").alias("names"),
-            F.col("cells.type").alias("types"),
-            F.col("cells.value").alias("values"),
-        )
+    records = null_skip(df, fields).select(tag, time, cells.alias("cells"))
+    present = F.filter("cells", lambda c: c["value"].isNotNull())
+    return records.select(tag, time, present.alias("cells")).select(
+        tag,
+        time,
+        F.col("cells.name").alias("names"),
+        F.col("cells.type").alias("types"),
+        F.col("cells.value").alias("values"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import TAG, TIME
 from ..functions import ms_to_ns, quote_text
+from ..functions.sql import name_sql, text_sql
 from ..operators.layout import (
     BATCH_POINTS,
     any_present,
@@ -18,6 +19,10 @@ from ..operators.layout import (
 
 # Measurement name of line messages.
 MEASUREMENT = "tb1"
+# Characters that a line message escapes, and how.
+ESCAPED_IN_TEXT = '(["\\\\])'
+ESCAPED_IN_TAG = "([,= ])"
+ESCAPE = "\\\\$1"
 
 
 def json_text(text: Column) -> Column:
@@ -26,17 +31,14 @@ def json_text(text: Column) -> Column:
     return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
-def _escaped(text: Column, characters: str) -> Column:
-    return F.regexp_replace(text, f"([{characters}])", "\\\\$1")
-
-
-def _line_value(column: str, kind: str) -> Column:
-    value = F.col(f"`{column}`")
+def _line_cell(name: str, kind: str) -> str:
+    value = f"cast({name_sql(name)} as string)"
     if kind in ("bigint", "int"):
-        return F.concat(value.cast("string"), F.lit("i"))
-    if kind == "string":
-        return quote_text(_escaped(value, '"\\\\'))
-    return value.cast("string")
+        value = f"{value}, 'i'"
+    elif kind == "string":
+        escaped = f"regexp_replace({value}, {text_sql(ESCAPED_IN_TEXT)}, {text_sql(ESCAPE)})"
+        value = f"'\"', {escaped}, '\"'"
+    return f"concat({text_sql(name + '=')}, {value})"
 
 
 def line_protocol(
@@ -49,12 +51,13 @@ def line_protocol(
     """``measurement,deviceId=d f1=1i,f2=2.5,f3="x" time_ns`` for each record with a field."""
     fields = fields or sensor_columns(df, time, tag)
     types = dict(df.dtypes)
-    cells = [F.concat(F.lit(f"{f}="), _line_value(f, types[f])) for f in fields]
+    cells = F.expr("concat_ws(',', " + ", ".join(_line_cell(f, types[f]) for f in fields) + ")")
     head = F.concat(
-        F.lit(f"{measurement},{TAG}="), _escaped(F.col(tag).cast("string"), ",= ")
+        F.lit(f"{measurement},{TAG}="),
+        F.regexp_replace(F.col(tag).cast("string"), ESCAPED_IN_TAG, ESCAPE),
     )
     line = F.concat_ws(
-        " ", head, F.concat_ws(",", *cells), ms_to_ns(F.col(time)).cast("string")
+        " ", head, cells, ms_to_ns(F.col(time)).cast("string")
     )
     return df.where(any_present(fields)).select(line.alias("value"))
 

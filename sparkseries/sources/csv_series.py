@@ -21,10 +21,11 @@ from ..functions import (
     safe_parse,
     strip_outer_quotes,
 )
+from ..functions.sql import name_sql, parse_sql, texts_sql
 from ..operators.layout import null_skip
 from ..operators.schema import apply_catalog, merge_schemas, to_struct
 from ..storage import cut, join_measured
-from ..types import DEFAULT_PRECISION, NAME_OF, TEXT
+from ..types import DEFAULT_PRECISION, NAME_OF, TEXT, wide_schema
 from .lines import first_lines, number_lines, read_lines
 
 
@@ -180,7 +181,7 @@ def read_csv_series(
         schema = to_struct(merge_schemas(columns.select("field", "type_rank", "precision")))
     sensors = [f for f in schema.fields if f.name not in (TIME, TAG)]
     # The last of several columns with one name wins, so names are looked up from the end.
-    names = F.array(*[F.lit(f.name) for f in sensors])
+    names = F.expr(texts_sql([f.name for f in sensors]))
     from_end = F.transform(names, lambda n: F.array_position(F.col("backward"), n))
     positions = F.transform(
         from_end, lambda p: F.when(p > 0, F.size("backward") - p.cast("int") + 1)
@@ -192,12 +193,12 @@ def read_csv_series(
         options.time(line).alias(TIME), TAG, "positions", options.values(line).alias("cells")
     )
     values = [
-        safe_parse(
-            F.get("cells", F.get("positions", F.lit(i))), f.dataType.simpleString()
-        ).alias(f.name, metadata=f.metadata)
+        parse_sql(f"get(cells, get(positions, {i}))", f.dataType.simpleString())
+        + " as " + name_sql(f.name)
         for i, f in enumerate(sensors)
     ]
-    return rows.where(F.col(TIME).isNotNull()).select(TIME, TAG, *values)
+    wide = rows.where(F.col(TIME).isNotNull()).selectExpr(TIME, TAG, *values)
+    return wide.to(wide_schema(sensors))
 
 
 def read_csv_points(

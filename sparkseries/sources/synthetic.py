@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import TAG, TIME
-from ..types import DOUBLE, SYNTHETIC_PRECISION, field
+from ..types import DOUBLE, SYNTHETIC_PRECISION, field, wide_schema
 
 # Defaults of the generator.
 SEED = 123456
@@ -24,23 +23,24 @@ def read_synthetic(
     """``root.device_i`` with ``sensor_j`` in [0, 1) or null, times 0 to ``points - 1``."""
     columns = []
     for j in range(sensors):
-        value = F.rand(seed + 2 * j)
+        value = f"rand({seed + 2 * j})"
         if null_ratio > 0:
-            value = F.when(F.rand(seed + 2 * j + 1) >= null_ratio, value)
-        name = f"sensor_{j}"
-        metadata = field(name, DOUBLE, SYNTHETIC_PRECISION).metadata
-        columns.append(value.alias(name, metadata=metadata))
-    return spark.range(devices * points).select(
-        F.pmod("id", F.lit(points)).alias(TIME),
-        F.concat(F.lit("root.device_"), F.expr(f"id div {points}").cast("string")).alias(TAG),
+            value = f"case when rand({seed + 2 * j + 1}) >= {null_ratio!r}D then {value} end"
+        columns.append(f"{value} as sensor_{j}")
+    schema = wide_schema([
+        field(f"sensor_{j}", DOUBLE, SYNTHETIC_PRECISION) for j in range(sensors)
+    ])
+    return spark.range(devices * points).selectExpr(
+        f"pmod(id, {points}) as {TIME}",
+        f"concat('root.device_', cast(id div {points} as string)) as {TAG}",
         *columns,
-    )
+    ).to(schema)
 
 
 def generate_wide(spark: SparkSession, rows: int, sensors: int, seed: int = SEED) -> DataFrame:
     """``rows`` records of one device with sensors ``s0 ..``, time = row number."""
-    return spark.range(rows).select(
-        F.col("id").alias(TIME),
-        F.lit("device").alias(TAG),
-        *[F.rand(seed + j).alias(f"s{j}") for j in range(sensors)],
+    return spark.range(rows).selectExpr(
+        f"id as {TIME}",
+        f"'device' as {TAG}",
+        *[f"rand({seed + j}) as s{j}" for j in range(sensors)],
     )
