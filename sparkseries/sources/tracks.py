@@ -15,12 +15,11 @@ from .. import TAG, TIME
 from ..functions import parent_of, relative_path, seconds_to_ms
 from ..functions.times import INTEGER
 from ..types import (
-    DOUBLE,
     GEOLIFE_FIELDS,
     NOAA_FIELDS,
     REDD_FIELDS,
     TDRIVE_FIELDS,
-    field,
+    double_schema,
 )
 from .lines import read_lines
 
@@ -65,13 +64,12 @@ def _moment(text: Column, zone: str, twelve_hours: bool) -> Column:
 def _records(rows: DataFrame, time: Column, device: Column, values: dict[str, Column],
              precisions: dict[str, int]) -> DataFrame:
     """The canonical wide table; a record with an unreadable time or value is dropped."""
-    columns = [
-        v.alias(n, metadata=field(n, DOUBLE, precisions[n]).metadata) for n, v in values.items()
-    ]
-    table = rows.select(time.alias(TIME), device.alias(TAG), *columns)
+    record = F.struct(time.alias(TIME), device.alias(TAG), *[v.alias(n) for n, v in values.items()])
+    # A generator keeps the filter above it, so that every value is parsed once.
+    table = rows.select(F.inline(F.array(record)))
     for name in [TIME, *values]:
         table = table.where(F.col(name).isNotNull())
-    return table
+    return table.to(double_schema(precisions))
 
 
 def _root(path: str) -> str:

@@ -73,6 +73,17 @@ def test_large_limits_take_the_split_route(spark, skewed, monkeypatch):
     assert sorted(map(repr, small)) == sorted(map(repr, large))
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "bigint"])
+def test_large_limits_reduce_the_rows_first(spark, monkeypatch, kind):
+    monkeypatch.setattr(ranking, "TOP_N_ONE_TASK", 10)
+    moment = F.timestamp_seconds(F.col("id") * 7 % 5003 * 1000).cast(kind)
+    df = spark.range(5003).select(moment.alias("t"), "id")
+    part = ranking._leading_part(df, "t", 300)
+    assert 300 <= part.count() < 500
+    got = {r.id for r in first_rows(df, ["t"], 300).collect()}
+    assert got == {i for i in range(5003) if i * 7 % 5003 < 300}
+
+
 def test_first_rows_per_group(spark, skewed):
     df = spark.createDataFrame(skewed, SCHEMA)
     few = first_rows_per_group(df, ["k"], ["t"], 7).collect()
