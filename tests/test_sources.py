@@ -257,3 +257,21 @@ def test_list_files(spark, write, tmp_path):
     assert got == [["a", "1.csv"], ["b", "2.csv"], ["c", "3.txt"]]
     assert [f[-5:] for f in list_files(spark, str(tmp_path), 1, 1)] == ["2.csv"]
     assert len(list_files(spark, str(tmp_path), suffix=".csv")) == 2
+
+
+def test_large_lookups_are_not_broadcast(spark, write, tmp_path, small_blocks, monkeypatch):
+    for i in range(20):
+        write(f"f{i}.csv", f"Time,root.d{i}.s{i % 3},root.d{i}.t\n" + "".join(
+            f"{t},{t + i},x{t}\n" for t in range(30)))
+    small = read_csv_series(spark, str(tmp_path))
+    numbered = number_lines(read_lines(spark, str(tmp_path)))
+    want, want_numbers = rows(small), rows(numbered)
+    monkeypatch.setattr("sparkseries.storage.BROADCAST_MAX_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(read_csv_series(spark, str(tmp_path))) == want
+        assert rows(number_lines(read_lines(spark, str(tmp_path)))) == want_numbers
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(want) == 600 and len(want_numbers) == 620
