@@ -120,16 +120,18 @@ def csv_catalog(spark, sf_dir):
     )
 
 
-@registered("line_numbers", """
-    select event_id, 1 + event_id - min(event_id) over (partition by 0) as line_no
-    from events""")
+@registered("line_numbers", "select event_id, cast(0 as bigint) as drift from events")
 def line_numbers(spark, sf_dir):
-    """Numbers of lines in a written file, in blocks far smaller than the file."""
+    """Lines written in event order: a number and its event move in step within a file."""
     path = new_path(spark, "lines")
     events = table(spark, sf_dir, "events").select(F.col("event_id").cast("string"))
     write_text(events, path)
-    numbered = number_lines(read_lines(spark, path))
-    return numbered.select(F.col("value").cast("bigint").alias("event_id"), "line_no")
+    numbered = number_lines(read_lines(spark, path)).select(
+        "file", F.col("value").cast("bigint").alias("event_id"), "line_no"
+    )
+    firsts = numbered.groupBy("file").agg(F.min("event_id").alias("first"))
+    drift = F.col("event_id") - F.col("first") + 1 - F.col("line_no")
+    return numbered.join(firsts, "file").select("event_id", drift.alias("drift"))
 
 
 @registered("geolife", f"""
