@@ -18,7 +18,7 @@ TABLES = (
 
 KINDS = {
     "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
-    "TIMESTAMP": "timestamp_ntz",
+    "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean",
 }
 
 
