@@ -10,21 +10,25 @@ from pyspark.sql import functions as F
 DAY_MS = 86_400_000
 
 # The one text layout of times in CSV files, and plain epoch numbers.
-ISO_PREFIX = "^\\d{4}-\\d{1,2}-\\d{1,2}T\\d{1,2}:\\d{1,2}:\\d{1,2}\\.\\d{3}"
-ISO_LENGTH = 23
+ISO_PREFIX = "^\\d{4}-\\d{1,2}-\\d{1,2}T\\d{1,2}:\\d{1,2}:\\d{1,2}(\\.\\d{0,9})?"
+OFFSET = "\\s*([+-]\\d{2}(:?\\d{2})?|Z)$"
 INTEGER = "^[+-]?[0-9]+$"
 
 
 def parse_time(text: Column, zone: str = "UTC", honour_offset: bool = True) -> Column:
-    """Epoch milliseconds of ``yyyy-MM-dd'T'HH:mm:ss.SSS[offset]`` or of an epoch number.
+    """Epoch milliseconds of ``yyyy-MM-dd'T'HH:mm:ss[.fraction][offset]`` or of an epoch number.
 
     A text without offset is read in ``zone``. ``honour_offset=False`` ignores
-    whatever follows the milliseconds. Unreadable text gives null.
+    whatever follows the seconds. Unreadable text gives null, as does a sign or ``Z`` that
+    begins no offset.
     """
     local = F.concat(F.regexp_extract(text, ISO_PREFIX, 0), F.lit(" " + zone))
     if honour_offset:
-        has_offset = text.rlike(ISO_PREFIX + "\\s*([+-]\\d{2}:?\\d{2}|Z)$")
-        local = F.when(has_offset, text).otherwise(local)
+        local = (
+            F.when(text.rlike(ISO_PREFIX + OFFSET), text)
+            .when(text.rlike(ISO_PREFIX + "\\s*([+-]|Z)"), F.lit(None))
+            .otherwise(local)
+        )
     iso = F.when(text.rlike(ISO_PREFIX), F.unix_millis(local.try_cast("timestamp")))
     return F.coalesce(iso, F.when(text.rlike(INTEGER), text.try_cast("bigint")))
 

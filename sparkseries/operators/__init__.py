@@ -44,4 +44,10 @@ from .schema import (
     union_tables,
     with_type_name,
 )
-from .transforms import extend_series, jitter_time, shuffle_batches, split_by_id
+from .transforms import (
+    extend_series,
+    jitter_time,
+    shuffle_batches,
+    split_by_id,
+    write_split,
+)

@@ -15,14 +15,13 @@ from ..functions.sql import (
     present_cells_sql,
     texts_sql,
 )
+from ..storage import join_null_safe
 from .ranking import GROUP_ROWS_ONE_TASK, number_rows
 
 # Sensors per table and points per payload batch.
 MAX_FIELDS = 700
 BATCH_POINTS = 1000
 
-CONDITIONAL_NAMES = 64
-
 
 def sensor_columns(df: DataFrame, time: str = TIME, tag: str = TAG) -> list[str]:
     return [c for c in df.columns if c not in (time, tag)]
@@ -81,14 +80,11 @@ def spread(
 ) -> DataFrame:
     """One row per key and one column per listed name, holding the largest value.
 
-    A few names are picked by conditional aggregates, which takes one shuffle; a pivot
-    takes two, but its work per row does not grow with the number of names.
+    A pivot, whose work per row does not grow with the number of names.
     """
     listed = df.where(F.col(name).isin(names))
-    if len(names) > CONDITIONAL_NAMES:
-        return listed.groupBy(*keys).pivot(name, names).agg(F.max(value))
-    columns = [F.max(F.when(F.col(name) == n, F.col(value))).alias(str(n)) for n in names]
-    return listed.groupBy(*keys).agg(*columns)
+    wide = listed.groupBy(*keys).pivot(name, names).agg(F.max(value))
+    return wide.toDF(*keys, *[str(n) for n in names])
 
 
 def long_to_wide(
@@ -165,6 +161,6 @@ def vertical_split(
 
 
 def rejoin(parts: dict[str, DataFrame], keys: list[str] | None = None) -> DataFrame:
-    """Undo :func:`vertical_split`; the keys must be unique."""
+    """Undo :func:`vertical_split`; the keys must be unique, and null is a key like others."""
     keys = keys or [TIME, TAG]
-    return reduce(lambda left, right: left.join(right, keys), parts.values())
+    return reduce(lambda left, right: join_null_safe(left, right, keys), parts.values())

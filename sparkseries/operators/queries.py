@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .. import TAG, TIME
 from ..functions import bucket_start, epoch_ms, time_bound
+from ..storage import join_null_safe
 from .layout import null_skip, spread
 from .ranking import first_rows, first_rows_per_group
 
-MAX_FILLED_BUCKETS = 1_000_000_000
 BUCKETS_PER_RUN = 100_000
 
 # Statistics of a bucket beyond the count; an addition to the plain count queries.
@@ -142,10 +142,8 @@ def downsample(
         return counted
     first = start - (start - origin) % width
     number = max(0, -((first - end) // width))
-    if number > MAX_FILLED_BUCKETS:
-        raise ValueError(f"{number} buckets to fill; widen the buckets or use fill=False")
     grid = _bucket_grid(rows.select(*keys).distinct() if keys else None, df, first, number, width)
-    filled = grid.join(counted, [*keys, "bucket"], "left")
+    filled = join_null_safe(grid, counted, [*keys, "bucket"], "left")
     return filled.fillna(0, ["points"]) if "count" in aggregates else filled
 
 
@@ -169,7 +167,7 @@ def _bucket_grid(devices: DataFrame | None, df, first: int, number: int, width:
     names = devices.columns
     if number == 0:
         return devices.select(*names, F.lit(0).cast("bigint").alias("bucket")).where(F.lit(False))
-    run = F.sequence(F.lit(0), F.lit(number - 1), F.lit(BUCKETS_PER_RUN))
+    run = F.expr(f"sequence(0L, {number - 1}L, {BUCKETS_PER_RUN}L)")
     stop = F.least(F.col("run") + BUCKETS_PER_RUN - 1, F.lit(number - 1))
     runs = devices.select(*names, F.explode(run).alias("run"))
     if number > BUCKETS_PER_RUN:
@@ -179,8 +177,6 @@ def _bucket_grid(devices: DataFrame | None, df, first: int, number: int, width:
     )
 
 
-
-
 def range_scan_count(
     df: DataFrame,
     field: str,

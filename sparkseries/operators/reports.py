@@ -11,7 +11,6 @@ from .ranking import first_rows, number_rows
 # Batches in the moving average, and the marker of a finished query in a log.
 LAST_BATCHES = 10_000
 FINISHED_QUERY = "done! Query Param:(\\d+)\\."
-MAX_REPEATS = 10_000
 
 
 def load_report(
@@ -82,19 +81,21 @@ def latency_report(
     params: list[int] | None = None,
     repeats: int | None = None,
 ) -> DataFrame:
-    """Per query parameter the latency of each repeat in log order, and the mean.
+    """Per query parameter the latency of each repeat in log order, and the mean of them all.
 
-    There are as many repeat columns as the log needs, or ``repeats`` if that is more.
+    A row ``(query_parameter, repeat, latency, average_ms)`` for each repeat, however many there
+    are; or, if ``repeats`` is given, a row for each parameter with the first so many as columns.
     """
     found = query_latencies(lines, params)
-    counts = found.groupBy("param").agg(F.count(F.lit(1)).alias("n"))
-    needed = counts.agg(F.max("n")).first()[0] or 0
-    if needed > MAX_REPEATS:
-        raise ValueError(f"{needed} repeats of one parameter: aggregate query_latencies() instead")
-    numbers = list(range(1, max(needed, repeats or 0) + 1))
-    numbered = number_rows(found, ["param"], order, name="repeat", largest=needed)
+    numbered = number_rows(found, ["param"], order, name="repeat")
+    if repeats is None:
+        means = found.groupBy("param").agg(F.avg("latency").alias("average_ms"))
+        return numbered.join(means, "param").select(
+            F.col("param").alias("query_parameter"), "repeat", "latency", "average_ms"
+        )
     repeat = [
-        F.max(F.when(F.col("repeat") == i, F.col("latency"))).alias(f"repeat{i}") for i in numbers
+        F.max(F.when(F.col("repeat") == i, F.col("latency"))).alias(f"repeat{i}")
+        for i in range(1, repeats + 1)
     ]
     return numbered.groupBy(F.col("param").alias("query_parameter")).agg(
         *repeat, F.avg("latency").alias("average_ms")

@@ -10,10 +10,7 @@ from pyspark.sql import types as T
 
 from .. import TAG, TIME
 from ..functions import infer_type_rank
-from ..types import DEFAULT_PRECISION, LONG, NAME_OF, RANK_OF, TEXT, field, wide_schema
-
-# A wide table gets one column per field; beyond this the long form is the right shape.
-MAX_COLUMNS = 10_000
+from ..types import DEFAULT_PRECISION, NAME_OF, RANK_OF, TEXT, field, wide_schema
 
 
 def infer_types(cells: DataFrame, by: list[str], value: str = "value") -> DataFrame:
@@ -45,23 +42,25 @@ def with_type_name(schema: DataFrame) -> DataFrame:
     return schema.withColumn("type", names[rank])
 
 
-def to_struct(schema: DataFrame, max_columns: int = MAX_COLUMNS) -> T.StructType:
-    """The merged schema as a Spark schema, fields in name order."""
-    rows = schema.select("field", "type_rank", "precision").limit(max_columns + 1).collect()
-    if len(rows) > max_columns:
-        raise ValueError(f"more than {max_columns} fields: read the long form instead")
+def to_struct(schema: DataFrame) -> T.StructType:
+    """The merged schema as a Spark schema, fields in name order; a schema is driver data."""
+    rows = schema.select("field", "type_rank", "precision").collect()
     return wide_schema(
         [field(r.field, r.type_rank or TEXT, r.precision) for r in sorted(rows)]
     )
 
 
+# Types that others hold without loss.
+WIDER = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "float": "double"}
+
+
 def union_tables(*tables: DataFrame, time: str = TIME, tag: str = TAG) -> DataFrame:
     """Tables of different fields as one: absent fields are null, types are merged."""
     ranks: dict[str, int] = {}
     for table in tables:
         for name, kind in table.dtypes:
             if name not in (time, tag):
-                rank = LONG if kind == "int" else RANK_OF.get(kind, TEXT)
+                rank = RANK_OF.get(WIDER.get(kind, kind), TEXT)
                 ranks[name] = max(ranks.get(name, 0), rank)
     cast = [
         t.select(*[
@@ -84,8 +83,14 @@ def apply_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def apply_catalog(series: DataFrame, catalog: DataFrame, on: str = "series") -> DataFrame:
-    """Add the declared type rank to series names; a series that is not declared is an error."""
-    declared = catalog.select(on, "type_rank")
+    """Add the declared type rank to series names; a series that is not declared is an error.
+
+    Of several declarations of one series the last line holds.
+    """
+    line = F.monotonically_increasing_id().alias("__line")
+    declared = catalog.select(on, "type_rank", line).groupBy(on).agg(
+        F.max_by("type_rank", "__line").alias("type_rank")
+    )
     message = F.concat(F.lit("no declared type for series "), F.col(on))
     checked = F.when(F.col("type_rank").isNull(), F.raise_error(message).cast("int")).otherwise(
         F.col("type_rank")

@@ -89,5 +89,14 @@ def extend_series(
 
 
 def split_by_id(readings: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """Readings of listed ids; write the result partitioned by the id to get one folder each."""
+    """Readings of listed ids."""
     return readings.join(ids.select(on), on, "left_semi")
+
+
+def write_split(
+    readings: DataFrame, ids: DataFrame, on: str, path: str, fields: list[str], mode: str = "overwrite"
+) -> None:
+    """A folder for each listed id that has readings, with the columns ``fields``."""
+    listed = split_by_id(readings, ids, on).select(on, *fields)
+    clustered = listed.hint("rebalance", on).sortWithinPartitions(on, *fields)
+    clustered.write.mode(mode).partitionBy(on).parquet(path)

@@ -378,6 +378,26 @@ def extended(spark, sf_dir):
     return extend_series(event_points(spark, sf_dir).select("time", "deviceId", "value"), 4)
 
 
+@registered("extend_series_null_device", f"""
+    with points as (
+        select "time", case when event_id % 7 = 0 then null else "deviceId" end as "deviceId", value
+        from ({EVENT_POINTS})),
+    numbered as (
+        select *, row_number() over (partition by "deviceId" order by "time", value) as n,
+               count(*) over (partition by "deviceId") as total,
+               max("time") over (partition by "deviceId") as last
+        from points)
+    select "time", "deviceId", value from numbered
+    union all
+    select last + i * total + n - 1, "deviceId", value
+    from numbered, (select unnest(range(4)) as i)""")
+def extended_null_device(spark, sf_dir):
+    """Rows without a device are a series like others."""
+    points = event_points(spark, sf_dir)
+    device = F.when(F.col("event_id") % 7 != 0, F.col("deviceId")).alias("deviceId")
+    return extend_series(points.select("time", device, "value"), 4)
+
+
 @registered("split_by_id", "select * from documents where doc_id in (select doc_id from labels)")
 def by_id(spark, sf_dir):
     return split_by_id(

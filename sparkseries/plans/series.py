@@ -293,3 +293,78 @@ def rollup_by_age(spark, sf_dir):
     points = event_points(spark, sf_dir)
     report = age_rollup(points, FEBRUARY, HOUR, "time", ["event_type"])
     return report.withColumn("window", F.col("window").cast("bigint"))
+
+
+# One device, as in every live query of a dashboard.
+@registered("raw_one_device", """
+    select ts, value from events where user_id = 8 and value is not null
+    order by ts, value limit 20""")
+def raw_one_device(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return raw_query(events, "value", 20, device=8, time="ts", tag="user_id")
+
+
+@registered("align_one_device", f"""
+    select l_shipdate, {", ".join(SENSORS)} from lineitem
+    where l_suppkey = 7 and coalesce({", ".join(SENSORS)}) is not null""")
+def align_one_device(spark, sf_dir):
+    lineitem = table(spark, sf_dir, "lineitem")
+    return align_query(lineitem, SENSORS, device=7, time="l_shipdate", tag="l_suppkey")
+
+
+@registered("count_one_device", """
+    select count(value) as points from events
+    where user_id = 8 and ts <= timestamp '2024-02-01 00:00:00'""")
+def count_one_device(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return count_query(events, "value", FEBRUARY, device=8, time="ts", tag="user_id")
+
+
+@registered("downsample_one_device", """
+    select (epoch_us(ts) // 1000) // 3600000 * 3600000 as bucket, count(value) as points
+    from events where user_id = 8 and ts >= timestamp '2024-01-01 00:00:00'
+      and ts < timestamp '2024-02-01 00:00:00' group by 1""")
+def downsample_one_device(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return downsample(
+        events, "value", JANUARY, FEBRUARY, HOUR, device=8, time="ts", tag="user_id"
+    )
+
+
+@registered("downsample_fill_null_device", """
+    with named as (select *, case when user_id % 7 = 0 then null else user_id end as device from events),
+    counted as (
+        select device, (epoch_us(ts) // 1000) // 86400000 * 86400000 as bucket, count(value) as points
+        from named
+        where ts >= timestamp '2024-01-01 00:00:00' and ts < timestamp '2024-02-01 00:00:00'
+        group by 1, 2),
+    grid as (
+        select u.device, g.bucket
+        from (select distinct device from counted) u,
+             (select unnest(generate_series(1704067200000, 1706745599999, 86400000)) as bucket) g)
+    select g.device, g.bucket, coalesce(points, 0) as points
+    from grid g left join counted c
+      on g.device is not distinct from c.device and g.bucket = c.bucket""")
+def downsample_fill_null_device(spark, sf_dir):
+    """Points without a device are a series of their own, also when empty buckets are filled."""
+    events = table(spark, sf_dir, "events").withColumn(
+        "device", F.when(F.col("user_id") % 7 != 0, F.col("user_id"))
+    )
+    return downsample(
+        events, "value", JANUARY, FEBRUARY, DAY, time="ts", tag="device", fill=True
+    )
+
+
+@registered("latency_repeats", """
+    select event_id // 6 as query_parameter, event_id % 6 + 1 as repeat, value as latency,
+           round(avg(value) over (partition by event_id // 6), 9) as average_ms from events""")
+def latency_repeats(spark, sf_dir):
+    """The log of latency_report with a row for each repeat."""
+    log = table(spark, sf_dir, "events").select(
+        F.concat(
+            F.lit("done! Query Param:"), F.expr("event_id div 6").cast("string"),
+            F.lit(". query time: "), F.col("value").cast("string"), F.lit(" ms"),
+        ).alias("value"),
+        "event_id",
+    )
+    return latency_report(log, ["event_id"]).withColumn("average_ms", F.round("average_ms", 9))

@@ -26,9 +26,10 @@ def number_lines(lines: DataFrame) -> DataFrame:
     """Add the 1-based ``line_no`` of every line in its file without sorting any lines.
 
     Rows of one block are consecutive in one task, so it is enough to know the first
-    id and the row count of each block. That small table is made by a first scan.
+    id and the row count of each block. Both come from one materialised scan, as another scan
+    may cut its blocks elsewhere.
     """
-    tagged = lines.withColumn("__id", F.monotonically_increasing_id())
+    tagged = cut(lines.withColumn("__id", F.monotonically_increasing_id()))
     blocks = tagged.groupBy("file", "block").agg(
         F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n")
     )

@@ -9,6 +9,20 @@ from .. import TAG, TIME
 from ..operators.queries import between
 
 
+def _open(spark: SparkSession, path: str, file_format: str) -> DataFrame:
+    """The table at ``path``; values of folder names stay texts, so that a device 007 keeps its name."""
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        table = spark.read.format(file_format).load(path)
+    finally:
+        spark.conf.set(key, before)
+    if "time_chunk" in table.columns:
+        table = table.withColumn("time_chunk", F.col("time_chunk").cast("bigint"))
+    return table
+
+
 def _scan(table: DataFrame, fields, start, end, device, suffix, time, tag, chunk) -> DataFrame:
     rows = between(table, start, end, time)
     if "time_chunk" in table.columns:
@@ -34,7 +48,7 @@ def scan_parquet(
     ``chunk`` is the chunk width the table was written with, if it has time chunks;
     with it, chunks before the range are skipped as well.
     """
-    table = spark.read.parquet(path)
+    table = _open(spark, path, "parquet")
     return _scan(table, fields, start, end, device, suffix, time, tag, chunk)
 
 
@@ -44,5 +58,5 @@ def scan_orc(
     tag: str = TAG, chunk: int | None = None,
 ) -> DataFrame:
     """As :func:`scan_parquet`, from ORC files."""
-    table = spark.read.orc(path)
+    table = _open(spark, path, "orc")
     return _scan(table, fields, start, end, device, suffix, time, tag, chunk)

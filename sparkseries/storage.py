@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def join_measured(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a materialised lookup table; broadcast it only if it is measured to be small.
+    """Join a materialised lookup table, null keys to null keys; broadcast it only if it is measured to be small.
 
     ``small`` must be cheap to scan (the result of :func:`cut` or a stored table).
     Beyond the bound the join is left to Spark, whose adaptive execution splits
@@ -58,4 +59,14 @@ def join_measured(big: DataFrame, small: DataFrame, on: list[str], how: str = "i
     ).first()
     if size["n"] <= BROADCAST_MAX_ROWS and (size["bytes"] or 0) <= BROADCAST_MAX_BYTES:
         small = F.broadcast(small)
-    return big.join(small, on, how)
+    return join_null_safe(big, small, on, how)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where null equals null; the columns ``on`` come from the left."""
+    names = {c: f"__right_{c}" for c in on}
+    renamed = right.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in right.columns])
+    same = reduce(
+        lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`{names[c]}`")) for c in on]
+    )
+    return left.join(renamed, same, how).drop(*names.values())

@@ -11,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import TAG, TIME
 from ..sinks.tables import with_time_chunk
-from ..storage import new_path
+
+# How many batches' progress a query keeps; Spark's default forgets all but 100.
+PROGRESS_ENTRIES = "spark.sql.streaming.numRecentProgressUpdates"
 
 
 def read_stream(
@@ -40,11 +42,19 @@ def ingest_stream(
     available_now: bool = True,
     time: str = TIME,
 ) -> StreamingQuery:
-    """Append a stream to a stored table; the file sink writes every record exactly once."""
+    """Append a stream to a stored table; the file sink writes every record exactly once.
+
+    The checkpoint belongs to the table and lies in its folder unless another is named, so a later
+    call goes on where the last one ended. A new checkpoint for a table that a stream has
+    written would make the sink skip batches, and is refused. Progress of all batches is kept.
+    """
     table = transform(stream) if transform else stream
     if chunked:
         table = with_time_chunk(table, time=time)
-    checkpoint = checkpoint or new_path(stream.sparkSession, "ingest")
+    spark = stream.sparkSession
+    checkpoint = checkpoint or f"{path}/_checkpoint"
+    if _exists(spark, f"{path}/_spark_metadata") and not _exists(spark, f"{checkpoint}/offsets"):
+        raise ValueError(f"{path} was written by a stream with another checkpoint")
     writer = (
         table.writeStream.format(file_format)
         .option("path", path)
@@ -55,9 +65,16 @@ def ingest_stream(
         writer = writer.partitionBy("time_chunk")
     if available_now:
         writer = writer.trigger(availableNow=True)
+    # Queries read this setting of the session as they run, so it stays.
+    spark.conf.set(PROGRESS_ENTRIES, 2**31 - 1)
     return writer.start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 def downsample_stream(
     stream: DataFrame,
     field: str,

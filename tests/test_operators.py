@@ -28,7 +28,6 @@ from sparkseries.operators import (
     wide_to_long,
     wide_to_typed_long,
 )
-from sparkseries.operators.queries import MAX_FILLED_BUCKETS
 from sparkseries.sinks import (
     TIME_CHUNK_MS,
     json_points,
@@ -110,9 +109,9 @@ def test_filled_and_sparse_agree(wide, width, options):
     assert sum(r.points for r in sparse.collect()) == sum(r.points for r in whole.collect())
 
 
-def test_filling_is_checked_first(wide):
-    with pytest.raises(ValueError, match="buckets to fill"):
-        downsample(wide, "a", 0, MAX_FILLED_BUCKETS * 2, 1, device="d1", fill=True)
+def test_filling_has_no_limit(wide):
+    grid = downsample(wide, "a", 0, 3_000_000_000, 1, device="d1", fill=True)
+    assert grid.columns == ["bucket", "points"]
 
 
 def test_result_size(wide):
@@ -193,7 +192,10 @@ def test_latency_report(spark):
     texts = ["start", line % (10, 10, "1.5"), line % (100, 100, "7"), line % (10, 10, "2.5"),
              "done! Query Param:10 without the dot 9 ms"]
     log = spark.createDataFrame(list(enumerate(texts)), "line_no int, value string")
-    report = latency_report(log, ["line_no"])
+    assert rows(latency_report(log, ["line_no"])) == [
+        (10, 1, 1.5, 2.0), (10, 2, 2.5, 2.0), (100, 1, 7.0, 7.0)
+    ]
+    report = latency_report(log, ["line_no"], repeats=2)
     assert report.columns == ["query_parameter", "repeat1", "repeat2", "average_ms"]
     assert rows(report) == [(10, 1.5, 2.5, 2.0), (100, 7.0, None, 7.0)]
     assert len(latency_report(log, ["line_no"], [10], repeats=6).columns) == 8

@@ -94,7 +94,7 @@ def test_first_rows_per_group(spark, skewed):
 
 
 def test_grouping_and_extension_agree_on_both_routes(spark, skewed):
-    df = spark.createDataFrame([(k or "none", t, v) for k, t, v in skewed],
+    df = spark.createDataFrame([tuple(x) for x in skewed],
                                "deviceId string, time long, value double")
     long = df.withColumn("field", F.lit("f"))
     a, b = (

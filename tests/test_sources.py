@@ -275,3 +275,31 @@ def test_large_lookups_are_not_broadcast(spark, write, tmp_path, small_blocks, m
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(want) == 600 and len(want_numbers) == 620
+
+
+def test_line_numbers_survive_another_split_size(spark, tmp_path):
+    from sparkseries.sources import number_lines, read_lines
+
+    (tmp_path / "long.txt").write_text("".join(f"line {i}\n" for i in range(1, 5001)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1000")
+        numbered = number_lines(read_lines(spark, str(tmp_path)))
+        spark.conf.set(key, "7777")
+        got = {r.line_no: r.value for r in numbered.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {i: f"line {i}" for i in range(1, 5001)}
+
+
+def test_device_folders_keep_their_names(spark, tmp_path):
+    from sparkseries.sinks import write_table
+    from sparkseries.sources import scan_orc, scan_parquet
+
+    df = spark.createDataFrame([(1, "007", 1.0), (2, "010", 2.0)], "time long, deviceId string, v double")
+    for kind, scan in (("parquet", scan_parquet), ("orc", scan_orc)):
+        path = str(tmp_path / kind)
+        write_table(df, path, kind, "device")
+        got = sorted((r.time, r.deviceId) for r in scan(spark, path, ["v"]).collect())
+        assert got == [(1, "007"), (2, "010")]

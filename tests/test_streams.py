@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sparkseries.operators import downsample
@@ -68,3 +69,21 @@ def test_late_rows(spark, tmp_path):
     patient = _run(spark, tmp_path, "patient", batches, "90 seconds")
     assert (0, 2) in patient
     assert (60_000, 2) in strict and (60_000, 2) in patient
+
+
+def test_later_files_reach_the_table(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(120):
+        spark.createDataFrame([(k, "d", float(k))], "time long, deviceId string, value double").coalesce(
+            1
+        ).write.mode("append").parquet(source)
+        if k == 2:
+            rows = read_stream(spark, source, spark.read.parquet(source).schema)
+            ingest_stream(rows, target, chunked=False).awaitTermination()
+    rows = read_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+    query = ingest_stream(rows, target, chunked=False)
+    query.awaitTermination()
+    assert spark.read.parquet(target).count() == 120
+    assert sum(r["records"] for r in progress_report(query)) == 117
+    with pytest.raises(ValueError, match="another checkpoint"):
+        ingest_stream(rows, target, checkpoint=str(tmp_path / "new"), chunked=False)
