@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stored, text_of
 from .quality import held_out
 from .viterbi import best_paths
 
@@ -37,6 +37,8 @@ PIECE = 1 << 20  # characters laid out at a time
 BATCH_CHARS = 1 << 21  # characters of the texts that advance through Viterbi together
 FLOOR = -15.0  # what one word can speak against a language at most
 SWITCH = 8.0
+# Ids of texts to learn from that are sent to every task, a few MB.
+BROADCAST_IDS = 100_000
 
 
 def letter_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +170,9 @@ def train(
         .withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows)
         .select("key", "lang").distinct()
     )
+    known = stored(known, "taught")
+    if known.count() <= BROADCAST_IDS:  # beyond it the join is left to Spark
+        known = F.broadcast(known)
     found = (
         docs.select(F.col(f"`{id}`").alias("key"), text_of(text).alias("text"))
         .join(known, "key").groupBy("key", "lang").agg(F.min("text").alias("text"))
