@@ -73,13 +73,11 @@ def test_late_rows(spark, tmp_path):
 
 def test_later_files_reach_the_table(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    for k in range(120):
-        spark.createDataFrame([(k, "d", float(k))], "time long, deviceId string, value double").coalesce(
-            1
-        ).write.mode("append").parquet(source)
-        if k == 2:
-            rows = read_stream(spark, source, spark.read.parquet(source).schema)
-            ingest_stream(rows, target, chunked=False).awaitTermination()
+    values = spark.range(120).selectExpr("id as time", "'d' as deviceId", "double(id) as value")
+    values.where("time < 3").coalesce(1).write.parquet(source)
+    rows = read_stream(spark, source, values.schema)
+    ingest_stream(rows, target, chunked=False).awaitTermination()
+    values.where("time >= 3").repartitionByRange(117, "time").write.mode("append").parquet(source)
     rows = read_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
     query = ingest_stream(rows, target, chunked=False)
     query.awaitTermination()
