@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-# Vectors of one axis that one task compares with a query; more are dealt out by hash.
+# Vectors and queries of one axis that meet in one task; more are dealt out by hash over pairs of parts.
 AXIS_ROWS = 20_000
+AXIS_QUERIES = 20_000
 QUERY_BLOCK = 512
 
 
@@ -62,7 +63,7 @@ def nearest(
     The score is the cosine in double precision; equal scores go by the smaller id. Null and zero
     vectors, those that hold null or non-finite components and those whose length is not the most
     frequent one (of equal ones the longest) take no part, nor do null ids. Equal vectors are
-    searched once and stand for all their ids, of which a query can need ``k + 1``. Rows that
+    searched once, as queries too, and stand for all their ids, of which a query can need ``k + 1``. Rows that
     repeat an id and vector count once; an id with several vectors is several rows of that id. An empty
     table gives an empty result; other columns are not looked at.
     """
@@ -120,25 +121,41 @@ def nearest(
     index = stored(
         distinct.select("rep", "v").mapInArrow(hashed(1), "table int, axis int, rep bigint, v binary"), "index"
     )
-    # As many counts as tables and axes, whatever the input.
-    parts = index.groupBy("table", "axis").agg(
-        F.ceil(F.count(F.lit(1)) / AXIS_ROWS).cast("int").alias("parts")
+    queries = stored(
+        rows.where(F.col("id") % every == 0).distinct().join(distinct.select("rep", "v"), "v")
+        .select(F.col("id").alias("query_id"), F.col("rep").alias("asked")),
+        "queries",
     )
-    parts = F.broadcast(stored(parts, "parts"))
-    asked = rows.where(F.col("id") % every == 0).distinct().select(F.col("id").alias("query"), "v")
-    asked = asked.mapInArrow(hashed(probes), "table int, axis int, query bigint, v binary")
-    left = index.join(parts, ["table", "axis"]).withColumn(
-        "part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    ).drop("parts")
-    right = asked.join(parts, ["table", "axis"]).withColumn(
+    asked = (
+        distinct.join(queries.select(F.col("asked").alias("rep")).distinct(), "rep")
+        .select(F.col("rep").alias("asked"), "v")
+        .mapInArrow(hashed(probes), "table int, axis int, asked bigint, v binary")
+    )
+
+    def parts(df: DataFrame, most: int, name: str) -> DataFrame:
+        return df.groupBy("table", "axis").agg(
+            F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name)
+        )
+
+    # As many rows as tables and axes, whatever the input.
+    sizes = F.broadcast(stored(
+        parts(index, AXIS_ROWS, "parts").join(parts(asked, AXIS_QUERIES, "asked_parts"), ["table", "axis"]),
+        "parts",
+    ))
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    left = index.join(sizes, ["table", "axis"]).withColumn("part", own).withColumn(
+        "asked_part", F.explode(F.sequence(F.lit(0), F.col("asked_parts") - 1))
+    ).drop("parts", "asked_parts")
+    own = F.pmod(F.xxhash64("asked"), F.col("asked_parts")).cast("int")
+    right = asked.join(sizes, ["table", "axis"]).withColumn("asked_part", own).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    ).drop("parts")
+    ).drop("parts", "asked_parts")
 
-    def compare(found: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def compare(found: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(found) and len(queries):
+        if len(found) and len(asking):
             x = np.frombuffer(b"".join(found["v"]), np.float64).reshape(-1, dim)
-            q = np.frombuffer(b"".join(queries["v"]), np.float64).reshape(-1, dim)
+            q = np.frombuffer(b"".join(asking["v"]), np.float64).reshape(-1, dim)
             x = x / np.abs(x).max(1, keepdims=True)
             q = q / np.abs(q).max(1, keepdims=True)
             norm = np.linalg.norm(x, axis=1)
@@ -150,26 +167,27 @@ def nearest(
                 score = (part @ x.T) / norm / np.linalg.norm(part, axis=1)[:, None]
                 best = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
                 out.append(pd.DataFrame({
-                    "query_id": np.repeat(queries["query"].to_numpy()[i:i + QUERY_BLOCK], best.shape[1]),
+                    "asked": np.repeat(asking["asked"].to_numpy()[i:i + QUERY_BLOCK], best.shape[1]),
                     "rep": reps[best].ravel(),
                     "score": np.take_along_axis(score, best, 1).ravel(),
                 }))
         if not out:
-            return pd.DataFrame({"query_id": [], "rep": [], "score": []}).astype(
-                {"query_id": "int64", "rep": "int64", "score": "float64"}
+            return pd.DataFrame({"asked": [], "rep": [], "score": []}).astype(
+                {"asked": "int64", "rep": "int64", "score": "float64"}
             )
         return pd.concat(out)
 
-    pairs = left.groupBy("table", "axis", "part").cogroup(right.groupBy("table", "axis", "part")).applyInPandas(
-        compare, "query_id bigint, rep bigint, score double"
+    cell = ["table", "axis", "part", "asked_part"]
+    pairs = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(
+        compare, "asked bigint, rep bigint, score double"
     )
-    found = pairs.groupBy("query_id", "rep").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+    found = pairs.groupBy("asked", "rep").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "rep")
     top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     each = (
         top.join(distinct.select("rep", "ids"), "rep")
-        .select("query_id", "score", F.explode("ids").alias("vec_id"))
-        .where("vec_id <> query_id")
+        .select("asked", "score", F.explode("ids").alias("vec_id"))
+        .join(queries, "asked").where("vec_id <> query_id")
         .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     )
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -12,7 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkseries.llm import html_text, language, secret_scan, simhash
+from sparkseries.llm import ann, html_text, language, secret_scan, simhash
 from sparkseries.llm.ann import nearest
 from sparkseries.llm.components import components
 from sparkseries.llm.exact_dedup import DigestIndex, dedup, without_copies
@@ -260,6 +260,21 @@ def test_nearest_of_odd_vectors(spark):
     assert nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_deals_out_large_axes(spark, monkeypatch):
+    """Vectors and queries of an axis in many parts, many equal vectors among them: the same result."""
+    draw = np.random.default_rng(2)
+    rows = [(50 * i + j, draw.normal(size=8).tolist()) for i in range(12) for j in range(4)]
+    rows += [(10_000 + 50 * i, [1.0] * 8) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, nearest(df, tables=2, probes=6).collect()))
+    monkeypatch.setattr(ann, "AXIS_ROWS", 3)
+    monkeypatch.setattr(ann, "AXIS_QUERIES", 2)
+    split = sorted(map(tuple, nearest(df, tables=2, probes=6).collect()))
+    assert [r[:3] for r in split] == [r[:3] for r in whole] and len(split) == 160
+    assert [r[3] for r in split] == pytest.approx([r[3] for r in whole], abs=1e-12)
+    assert {r[2] for r in split if r[0] == 10_950} == {10_000 + 50 * i for i in range(5)}
+
+
 def test_pages():
     page = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><a>m</a></nav>
       <div class="cookie-notice"><p>We use cookies</p></div><div id="content"><article><header><h2>Head &amp; tail</h2>
