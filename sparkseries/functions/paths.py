@@ -12,8 +12,22 @@ def file_stem(path: Column) -> Column:
 
 
 def relative_path(path: Column, root: str) -> Column:
-    """What follows the data folder in a path, without a leading slash."""
-    return F.regexp_replace(F.substring_index(path, root.rstrip("/") + "/", -1), "^/+", "")
+    """What follows the data folder in a path, without a leading slash.
+
+    ``root`` is absolute; the path may carry a scheme. Where the path does not begin with the root
+    (patterns), its last occurrence counts.
+    """
+    folder = root.rstrip("/") + "/"
+    plain = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    rest = F.when(
+        F.startswith(plain, F.lit(folder)), F.substr(plain, F.lit(len(folder) + 1))
+    ).otherwise(F.substring_index(plain, folder, -1))
+    return F.regexp_replace(rest, "^/+", "")
+
+
+def decoded_path(path: Column) -> Column:
+    """A path as users write it; Spark reports it URL-encoded, with plus signs as they are."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def parent_of(path: Column, marker: str) -> Column:

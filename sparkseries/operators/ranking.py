@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..storage import cut
 GROUP_ROWS_ONE_TASK = 5_000_000
 # The final task of ORDER BY .. LIMIT n merges n rows of every other task.
 TOP_N_ONE_TASK = 10_000
+# Buckets of the first column in which a bound for a larger limit is looked for.
+BOUND_BUCKETS = 4096
 # A repeated row is unfolded by one task in runs of this length.
 COPIES_PER_RUN = 100_000
 
@@ -109,31 +113,73 @@ def _unfold(numbered: DataFrame, ties: list[Column], name: str) -> DataFrame:
     return short.unionByName(long)
 
 
-def first_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
-    """The first ``n`` rows in a total order, through one task only while ``n`` is small."""
-    if n <= TOP_N_ONE_TASK:
-        return df.orderBy(*total_order(df, [], order)).limit(n)
-    if isinstance(order[0], str):
-        df = _leading_part(df, order[0], n)
-    numbered = number_rows(df, [], order, name="__row_no")
-    return numbered.where(F.col("__row_no") <= n).drop("__row_no")
+def _as_long(column: str, kind: str) -> Column | None:
+    """A whole number in the order of ``column``, if its type has one."""
+    value = F.col(f"`{column}`")
+    if kind in ("bigint", "int"):
+        return value.cast("bigint")
+    if kind == "timestamp":
+        return F.unix_micros(value)
+    if kind == "timestamp_ntz":
+        since = (value - F.expr("timestamp_ntz'1970-01-01'")).cast("interval second")
+        return (since.cast("decimal(20,6)") * 1_000_000).cast("bigint")
+    return None
+
+
+def _literal(number: int, kind: str) -> Column:
+    """The value that :func:`_as_long` turns into ``number``; a constant that reaches the scan."""
+    if kind == "timestamp":
+        return F.expr(f"timestamp_micros({number}L)")
+    if kind == "timestamp_ntz":
+        moment = datetime(1970, 1, 1) + timedelta(microseconds=number)
+        return F.expr(f"timestamp_ntz'{moment.isoformat(' ')}'")
+    return F.lit(number).cast(kind)
 
 
-def _leading_part(df: DataFrame, column: str, n: int) -> DataFrame:
-    """Rows up to a value of ``column`` below which at least ``n`` rows are found.
+def first_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
+    """The first ``n`` rows in a total order, through one task only while ``n`` is small.
 
-    The value is an estimate, but the rows below it are counted: if there are too few,
-    nothing is left out.
+    For more rows, counts by bucket of the first column, refined where the limit falls, tell the
+    value up to which rows are taken; rows that tie there are numbered in slices. The result is
+    sorted by range.
     """
-    kind = dict(df.dtypes)[column]
-    total = df.count()
-    if n * 2 > total or kind not in ("bigint", "int", "timestamp", "timestamp_ntz", "date"):
-        return df
-    share = n / total * 1.02 + 0.001
-    estimate = F.percentile_approx(column, share, F.lit(10_000)).cast("string")
-    bound = F.lit(df.agg(estimate.alias("bound")).first()["bound"]).cast(kind)
-    part = df.where(F.col(column).isNull() | (F.col(column) <= bound))
-    return part if part.count() >= n else df
+    total = total_order(df, [], order)
+    if n <= TOP_N_ONE_TASK:
+        return df.orderBy(*total).limit(n)
+    column = order[0] if isinstance(order[0], str) else None
+    kind = dict(df.dtypes).get(column)
+    place = _as_long(column, kind) if column else None
+    low, high = (None, None) if place is None else df.agg(F.min(place), F.max(place)).first()
+    if low is None or high - low >= 1 << 62:
+        return _numbered_first(df, order, n).orderBy(*total)
+    value = F.col(f"`{column}`")
+    nulls = df.where(value.isNull()).count()
+    if nulls >= n:  # nulls come first
+        return _numbered_first(df.where(value.isNull()), order, n).orderBy(*total)
+    before, count = nulls, None
+    while count is None or count > TOP_N_ONE_TASK and high > low:
+        width = -(-(high - low + 1) // BOUND_BUCKETS)
+        inside = df.where((value >= _literal(low, kind)) & (value <= _literal(high, kind)))
+        bucket = F.call_function("div", place - F.lit(low).cast("bigint"), F.lit(width).cast("bigint"))
+        counts = inside.groupBy(bucket.alias("bucket")).count().collect()  # at most BOUND_BUCKETS
+        for at, count in sorted(map(tuple, counts)):
+            if before + count >= n:
+                break
+            before += count
+        else:
+            return df.orderBy(*total)  # there are no more than n rows
+        low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+    edge = df.where((value >= _literal(low, kind)) & (value <= _literal(high, kind)))
+    if count <= TOP_N_ONE_TASK:
+        edge = edge.orderBy(*total).limit(n - before)
+    else:
+        edge = _numbered_first(edge, order, n - before)
+    return df.where(value.isNull() | (value < _literal(low, kind))).union(edge).orderBy(*total)
+
+
+def _numbered_first(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
+    numbered = number_rows(df, [], order, name="__row_no", group_rows=0, largest=1)
+    return numbered.where(F.col("__row_no") <= n).drop("__row_no")
 
 
 def first_rows_per_group(

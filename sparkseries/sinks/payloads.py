@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ MEASUREMENT = "tb1"
 # Characters that a line message escapes, and how.
 ESCAPED_IN_TEXT = '(["\\\\])'
 ESCAPED_IN_TAG = "([,= ])"
+ESCAPED_IN_NAME = "([, ])"
 ESCAPE = "\\\\$1"
 
 
@@ -33,12 +36,19 @@ def json_text(text: Column) -> Column:
 
 def _line_cell(name: str, kind: str) -> str:
     value = f"cast({name_sql(name)} as string)"
+    if kind in ("double", "float"):  # a message has no NaN and no infinity
+        value = f"if(isnan({name_sql(name)}) or abs({name_sql(name)}) = double('infinity'), null, {value})"
     if kind in ("bigint", "int"):
         value = f"{value}, 'i'"
     elif kind == "string":
         escaped = f"regexp_replace({value}, {text_sql(ESCAPED_IN_TEXT)}, {text_sql(ESCAPE)})"
+        escaped = f"replace(replace({escaped}, '\\n', '\\\\n'), '\\r', '\\\\r')"
         value = f"'\"', {escaped}, '\"'"
-    return f"concat({text_sql(name + '=')}, {value})"
+    return f"concat({text_sql(_escaped_name(name) + '=')}, {value})"
+
+
+def _escaped_name(name: str, signs: str = ESCAPED_IN_TAG) -> str:
+    return re.sub(signs, r"\\\1", name).replace("\n", "\\n")
 
 
 def line_protocol(
@@ -48,18 +58,29 @@ def line_protocol(
     time: str = TIME,
     tag: str = TAG,
 ) -> DataFrame:
-    """``measurement,deviceId=d f1=1i,f2=2.5,f3="x" time_ns`` for each record with a field."""
+    """``measurement,deviceId=d f1=1i,f2=2.5,f3="x" time_ns`` for each record with a field.
+
+    Names, tags and texts are escaped, line breaks as ``\\n``. NaN and infinite values are left out, as
+    the format has none; a null or empty device has no tag.
+    """
     fields = fields or sensor_columns(df, time, tag)
     types = dict(df.dtypes)
     cells = F.expr("concat_ws(',', " + ", ".join(_line_cell(f, types[f]) for f in fields) + ")")
-    head = F.concat(
-        F.lit(f"{measurement},{TAG}="),
-        F.regexp_replace(F.col(tag).cast("string"), ESCAPED_IN_TAG, ESCAPE),
+    device = F.regexp_replace(F.col(tag).cast("string"), ESCAPED_IN_TAG, ESCAPE)
+    device = F.replace(device, F.lit("\n"), F.lit("\\n"))
+    head = F.concat_ws(
+        f",{TAG}=", F.lit(_escaped_name(measurement, ESCAPED_IN_NAME)), F.nullif(device, F.lit(""))
     )
-    line = F.concat_ws(
-        " ", head, cells, ms_to_ns(F.col(time)).cast("string")
+    rows = df.where(any_present(fields)).select(
+        head.alias("head"), cells.alias("cells"), ms_to_ns(F.col(time)).cast("string").alias("at")
     )
-    return df.where(any_present(fields)).select(line.alias("value"))
+    return rows.where("cells <> ''").select(F.concat_ws(" ", "head", "cells", "at").alias("value"))
+
+
+def _finite(long: DataFrame) -> DataFrame:
+    """Points without NaN and infinite values, which JSON does not have."""
+    odd = F.col("v_double").isin(float("nan"), float("inf"), float("-inf"))
+    return long.where(~F.coalesce(odd, F.lit(False)))
 
 
 def _json_value() -> Column:
@@ -80,8 +101,11 @@ def json_points(
     time: str = TIME,
     tag: str = TAG,
 ) -> DataFrame:
-    """JSON messages, one per point or one per batch of points of a series."""
-    long = wide_to_typed_long(df, fields, time, tag).select(
+    """JSON messages, one per point or one per batch of points of a series.
+
+    NaN and infinite values are left out; a null device is a JSON null.
+    """
+    long = _finite(wide_to_typed_long(df, fields, time, tag)).select(
         tag, time, "field", _json_value().alias("value")
     )
     head = F.concat(
@@ -103,8 +127,8 @@ def json_points(
 def metric_points(
     df: DataFrame, fields: list[str] | None = None, time: str = TIME, tag: str = TAG
 ) -> DataFrame:
-    """JSON messages ``metric, timestamp, value, tags``, one per point."""
-    long = wide_to_typed_long(df, fields, time, tag)
+    """JSON messages ``metric, timestamp, value, tags``, one per point with a finite value."""
+    long = _finite(wide_to_typed_long(df, fields, time, tag))
     body = F.concat(
         F.lit('{"metric":'), json_text(F.col("field")),
         F.lit(',"timestamp":'), F.col(time).cast("string"),

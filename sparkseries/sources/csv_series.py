@@ -21,7 +21,7 @@ from ..functions import (
     safe_parse,
     strip_outer_quotes,
 )
-from ..functions.sql import name_sql, parse_sql, texts_sql
+from ..functions.sql import parse_sql, texts_sql
 from ..operators.layout import null_skip
 from ..operators.schema import apply_catalog, merge_schemas, to_struct
 from ..storage import cut, join_measured
@@ -194,11 +194,15 @@ def read_csv_series(
     )
     values = [
         parse_sql(f"get(cells, get(positions, {i}))", f.dataType.simpleString())
-        + " as " + name_sql(f.name)
+        + f" as __value_{i}"
         for i, f in enumerate(sensors)
     ]
     wide = rows.where(F.col(TIME).isNotNull()).selectExpr(TIME, TAG, *values)
-    return wide.to(wide_schema(sensors))
+    # Names may differ by case only, so columns are named last and by place.
+    placed = [
+        T.StructField(f"__value_{i}", f.dataType, f.nullable, f.metadata) for i, f in enumerate(sensors)
+    ]
+    return wide.to(wide_schema(placed)).toDF(TIME, TAG, *[f.name for f in sensors])
 
 
 def read_csv_points(

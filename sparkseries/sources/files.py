@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def list_files(
         reader = reader.option("pathGlobFilter", f"*{suffix}")
     files = sorted(reader.load(path).inputFiles())
     last = len(files) if end is None else end + 1
-    return [f for f in files[begin:last] if ".DS_Store" not in f]
+    return [unquote(f) for f in files[begin:last] if ".DS_Store" not in f]
 
 
 def read_type_catalog(

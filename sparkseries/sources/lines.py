@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import decoded_path
 from ..storage import cut, join_measured
 
 
@@ -15,7 +16,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         .text(paths)
         .select(
             "value",
-            F.col("_metadata.file_path").alias("file"),
+            decoded_path(F.col("_metadata.file_path")).alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
         )
         .where(F.col("value") != "")

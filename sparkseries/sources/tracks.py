@@ -6,8 +6,6 @@ the reader to some of the files below it.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,8 +70,11 @@ def _records(rows: DataFrame, time: Column, device: Column, values: dict[str, Co
     return table.to(double_schema(precisions))
 
 
-def _root(path: str) -> str:
-    return re.sub("^[a-z0-9]+:/+", "/", path).rstrip("/")
+def _root(spark: SparkSession, path: str) -> str:
+    """The absolute path of a folder, without scheme."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return folder.makeQualified(system.getUri(), system.getWorkingDirectory()).toUri().getPath()
 
 
 def read_geolife(
@@ -92,7 +93,7 @@ def read_geolife(
     items = F.col("items")
     rows = lines.select("file", F.split("value", ",").alias("items"))
     moment = F.concat(F.get(items, F.lit(5)), F.lit(" "), F.get(items, F.lit(6)))
-    device = parent_of(relative_path(F.col("file"), _root(path)), "Trajectory")
+    device = parent_of(relative_path(F.col("file"), _root(spark, path)), "Trajectory")
     values = {
         n: F.get(items, F.lit(i)).try_cast("double") for i, n in enumerate(GEOLIFE_FIELDS)
     }
@@ -123,7 +124,7 @@ def read_noaa(
     time = days.cast("bigint") * 86_400_000 + F.lit(NOAA_SHIFT_MS)
     if device_from == "file":
         name = F.split(
-            F.replace(relative_path(F.col("file"), _root(path)), F.lit(".op"), F.lit("")), "-"
+            F.replace(relative_path(F.col("file"), _root(spark, path)), F.lit(".op"), F.lit("")), "-"
         )
         device = F.concat_ws("_", F.get(name, F.lit(0)), F.get(name, F.lit(1)))
     else:
@@ -149,7 +150,7 @@ def read_tdrive(
     items = F.col("items")
     rows = read_lines(spark, files or path).select("file", F.split("value", ",").alias("items"))
     if device_from == "file":
-        device = F.replace(relative_path(F.col("file"), _root(path)), F.lit(".txt"), F.lit(""))
+        device = F.replace(relative_path(F.col("file"), _root(spark, path)), F.lit(".txt"), F.lit(""))
     else:
         device = F.get(items, F.lit(0))
     values = {
@@ -167,7 +168,7 @@ def read_redd(spark: SparkSession, path: str, files: list[str] | None = None) ->
     rows = read_lines(spark, files or path).select("file", F.split("value", " ").alias("items"))
     seconds = F.get(items, F.lit(0))
     time = F.when(seconds.rlike(INTEGER), seconds_to_ms(seconds.try_cast("bigint")))
-    name = F.replace(relative_path(F.col("file"), _root(path)), F.lit(".dat"), F.lit(""))
+    name = F.replace(relative_path(F.col("file"), _root(spark, path)), F.lit(".dat"), F.lit(""))
     device = F.concat(F.lit(DEVICE_PREFIX), F.replace(name, F.lit("/"), F.lit("_")))
     values = {"value": F.get(items, F.lit(1)).try_cast("double")}
     return _records(rows, time, device, values, REDD_FIELDS)

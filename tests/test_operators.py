@@ -201,9 +201,30 @@ def test_latency_report(spark):
     assert len(latency_report(log, ["line_no"], [10], repeats=6).columns) == 8
 
 
+def test_payloads_of_odd_values(spark):
+    import json
+
+    rows = [(1, "d 1,x=y\n", float("nan"), "two\nlines \\", 1), (2, None, 2.0, None, None),
+            (3, "e", float("inf"), None, None), (4, "e", float("-inf"), None, 7), (5, "e", None, None, None)]
+    df = spark.createDataFrame(rows, "time long, deviceId string, `a b,c=d` double, s string, n long")
+    lines = sorted(r[0] for r in line_protocol(df, measurement="my tb").collect())
+    assert lines == [
+        "my\\ tb a\\ b\\,c\\=d=2.0 2000000",
+        'my\\ tb,deviceId=d\\ 1\\,x\\=y\\n s="two\\nlines \\\\",n=1i 1000000',
+        "my\\ tb,deviceId=e n=7i 4000000",
+    ]
+    strict = {"parse_constant": lambda c: pytest.fail(c)}
+    single = [json.loads(r[0], **strict) for r in json_points(df, batched=False).collect()]
+    assert sorted((p["name"], p["timestamp"]) for p in single) == [("a b,c=d", 2), ("n", 1), ("n", 4), ("s", 1)]
+    assert {p["timestamp"]: p["tags"]["deviceId"] for p in single} == {1: "d 1,x=y\n", 2: None, 4: "e"}
+    batches = [json.loads(r[0], **strict) for r in json_points(df).collect()]
+    assert sum(len(b["datapoints"]) for b in batches) == 4
+    assert len([json.loads(r[0], **strict) for r in metric_points(df).collect()]) == 4
+
+
 def test_payloads(wide):
     lines = [r[0] for r in line_protocol(wide).orderBy("value").collect()]
-    assert len(lines) == 5
+    assert len(lines) == 4  # the record that holds only a NaN has no message
     assert lines[0] == 'tb1,deviceId=d1 a=1i,b=0.5,c="x" 1000000'
     assert 'c="say \\"hi\\"" 11000000' in lines[1]
     batch = [r[0] for r in json_points(wide, ["a", "c"]).orderBy("value").collect()]

@@ -212,6 +212,26 @@ def test_redd(spark, write, tmp_path):
     ]
 
 
+def test_devices_of_unusual_paths(spark, write, tmp_path, monkeypatch):
+    """Folders with signs that Spark encodes, and a root name that comes twice."""
+    for house in ("h 1", "h+2%20"):
+        write(f"data/{house}/data/c1.dat", "1303132929 222.20\n")
+    want = ["root.group_0.d_h 1_data_c1", "root.group_0.d_h+2%20_data_c1"]
+    root = str(tmp_path / "data")
+    for path in (root, f"file://{root}/"):
+        assert sorted(r[1] for r in rows(read_redd(spark, path))) == want
+    files = list_files(spark, root)
+    assert sorted(f[-13:] for f in files) == ["%20/data/c1.dat"[-13:], "h 1/data/c1.dat"[-13:]]
+    assert read_redd(spark, root, files=files[:1]).count() == 1
+
+
+def test_csv_columns_that_differ_by_case(spark, write, tmp_path):
+    write("a.csv", "Time,root.d.Temp,root.d.temp\n1,2,x\n")
+    wide = read_csv_series(spark, str(tmp_path), CsvSeries(normalize=False))
+    names, row = wide.columns, tuple(wide.collect()[0])
+    assert dict(zip(names, row)) == {"time": 1, "deviceId": "root.d", "Temp": 2, "temp": "x"}
+
+
 def test_mlab_utilization(spark, write, tmp_path):
     write("m.json", "\n".join([
         '{"metric":"m","hostname":"h","experiment":"e",'
