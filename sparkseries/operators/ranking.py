@@ -149,15 +149,20 @@ def first_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
     column = order[0] if isinstance(order[0], str) else None
     kind = dict(df.dtypes).get(column)
     place = _as_long(column, kind) if column else None
-    low, high = (None, None) if place is None else df.agg(F.min(place), F.max(place)).first()
-    if low is None or high - low >= 1 << 62:
+    if place is None:
         return _numbered_first(df, order, n).orderBy(*total)
     value = F.col(f"`{column}`")
-    nulls = df.where(value.isNull()).count()
+    rows, nulls, low, high = df.agg(
+        F.count(F.lit(1)), F.count_if(value.isNull()), F.min(place), F.max(place)
+    ).first()
+    if rows <= n:
+        return df.orderBy(*total)
+    if low is None or high - low >= 1 << 62:
+        return _numbered_first(df, order, n).orderBy(*total)
     if nulls >= n:  # nulls come first
         return _numbered_first(df.where(value.isNull()), order, n).orderBy(*total)
-    before, count = nulls, None
-    while count is None or count > TOP_N_ONE_TASK and high > low:
+    before, count = nulls, rows - nulls
+    while count > TOP_N_ONE_TASK and high > low:
         width = -(-(high - low + 1) // BOUND_BUCKETS)
         inside = df.where((value >= _literal(low, kind)) & (value <= _literal(high, kind)))
         bucket = F.call_function("div", place - F.lit(low).cast("bigint"), F.lit(width).cast("bigint"))
@@ -166,8 +171,6 @@ def first_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
             if before + count >= n:
                 break
             before += count
-        else:
-            return df.orderBy(*total)  # there are no more than n rows
         low, high = low + at * width, min(high, low + (at + 1) * width - 1)
     edge = df.where((value >= _literal(low, kind)) & (value <= _literal(high, kind)))
     if count <= TOP_N_ONE_TASK:
