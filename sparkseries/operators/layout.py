@@ -16,7 +16,7 @@ from ..functions.sql import (
     texts_sql,
 )
 from ..storage import join_null_safe
-from .ranking import GROUP_ROWS_ONE_TASK, number_rows
+from .ranking import number_rows
 
 # Sensors per table and points per payload batch.
 MAX_FIELDS = 700
@@ -109,12 +109,9 @@ def group_points(
     batch_points: int = BATCH_POINTS,
     time: str = TIME,
     tag: str = TAG,
-    group_rows: int = GROUP_ROWS_ONE_TASK,
 ) -> DataFrame:
     """Series cut into batches of at most ``batch_points`` points, each one array in time order."""
-    numbered = number_rows(
-        long.select(tag, "field", time, "value"), [tag, "field"], [time], group_rows=group_rows
-    )
+    numbered = number_rows(long.select(tag, "field", time, "value"), [tag, "field"], [time])
     batch = F.expr(f"(row_no - 1) div {int(batch_points)}").alias("batch")
     point = F.struct(F.col(time).alias("t"), F.col("value").alias("v"))
     return (

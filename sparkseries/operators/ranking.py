@@ -9,39 +9,23 @@ from pyspark.sql import functions as F
 
 from ..storage import cut
 
-# A group up to this many rows may be sorted by one task.
-GROUP_ROWS_ONE_TASK = 5_000_000
 # The final task of ORDER BY .. LIMIT n merges n rows of every other task.
 TOP_N_ONE_TASK = 10_000
 # Buckets of the first column in which a bound for a larger limit is looked for.
 BOUND_BUCKETS = 4096
-# A repeated row is unfolded by one task in runs of this length.
+# A repeated row is numbered and unfolded in runs of at most this length.
 COPIES_PER_RUN = 100_000
 
 
 def number_rows(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column | str],
-    name: str = "row_no",
-    group_rows: int = GROUP_ROWS_ONE_TASK,
-    largest: int | None = None,
+    df: DataFrame, keys: list[str], order: list[Column | str], name: str = "row_no"
 ) -> DataFrame:
     """1-based position of every row inside its group, exact whatever the group sizes are.
 
-    Rows that tie on ``order`` are told apart by their remaining columns. The size
-    of the largest group is measured first, unless ``largest`` tells it: small groups take
-    an ordinary window, larger ones are cut into range slices that are counted and
-    sorted separately.
+    Rows that tie on ``order`` are told apart by their remaining columns. Equal rows are folded into
+    runs, the runs are cut by range into slices, and every slice is counted and sorted by itself.
     """
-    if largest is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.agg(F.max("n")).first()[0] or 0
-    order = total_order(df, keys, order)
-    if largest <= group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-    return _number_slices(df, keys, order, name)
+    return _number_slices(df, keys, total_order(df, keys, order), name)
 
 
 def total_order(df: DataFrame, keys: list[str], order: list[Column | str]) -> list[Column]:
@@ -55,21 +39,24 @@ def total_order(df: DataFrame, keys: list[str], order: list[Column | str]) -> li
 def _number_slices(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     by_key = [F.col(f"`{k}`") for k in keys]
     ties = [F.col(f"`{c}`") for c in df.columns]
-    # Equal rows become one row with a count, so no value can fill a slice by itself.
+    # Equal rows become runs with a count, so no value can fill a slice by itself.
     # Grouping does not tell -0.0 from 0.0, so the sign is a key of its own.
     zeros = [c for c, kind in df.dtypes if kind in ("double", "float")]
     signs = {c: F.col(f"`{c}`").cast("string") == "-0.0" for c in zeros}
     folded = df.groupBy(*ties, *[s.alias(f"__sign_{c}") for c, s in signs.items()]).agg(
-        F.count(F.lit(1)).alias("__copies")
+        F.count(F.lit(1)).alias("__all")
     )
     signed = [
         F.when(F.col(f"`__sign_{c}`"), F.lit(-0.0).cast(kind)).otherwise(F.col(f"`{c}`")).alias(c)
         if c in signs else F.col(f"`{c}`")
         for c, kind in df.dtypes
     ]
-    folded = folded.select(*signed, "__copies")
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("__all") - 1, F.lit(COPIES_PER_RUN).cast("bigint"))
+    runs = folded.select(*signed, "__all", F.explode(starts).alias("__run")).select(
+        *ties, "__run", F.least(F.lit(COPIES_PER_RUN), F.col("__all") - F.col("__run")).alias("__copies")
+    )
     sliced = cut(
-        folded.repartitionByRange(*by_key, *order)
+        runs.repartitionByRange(*by_key, *order, "__run")
         .withColumn("__slice", F.spark_partition_id())
         .withColumn("__key", F.struct(F.lit(0), *by_key))
     )
@@ -84,33 +71,15 @@ def _number_slices(df: DataFrame, keys: list[str], order: list[Column], name: st
             "__slice", "__key", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
         )
     )
-    upto = Window.partitionBy("__slice", "__key").orderBy(*order).rowsBetween(
+    upto = Window.partitionBy("__slice", "__key").orderBy(*order, "__run").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    first = F.col("__before") + F.col("__upto") - F.col("__copies") + 1
-    numbered = (
+    last = F.col("__before") + F.col("__upto")
+    return (
         sliced.withColumn("__upto", F.sum("__copies").over(upto))
         .join(offsets, ["__slice", "__key"])
-        .select(*ties, "__copies", first.alias("__first"))
-    )
-    return _unfold(numbered, ties, name)
-
-
-def _unfold(numbered: DataFrame, ties: list[Column], name: str) -> DataFrame:
-    """Give every copy of a folded row its own number; long runs are spread over tasks."""
-    last = F.col("__first") + F.col("__copies") - 1
-    short = numbered.where(F.col("__copies") <= COPIES_PER_RUN).select(
-        *ties, F.explode(F.sequence("__first", last)).alias(name)
-    )
-    starts = F.sequence(F.col("__first"), last, F.lit(COPIES_PER_RUN).cast("bigint"))
-    stop = F.least(F.col("__start") + COPIES_PER_RUN - 1, F.col("__last"))
-    long = (
-        numbered.where(F.col("__copies") > COPIES_PER_RUN)
-        .select(*ties, last.alias("__last"), F.explode(starts).alias("__start"))
-        .repartition("__start")
-        .select(*ties, F.explode(F.sequence(F.col("__start"), stop)).alias(name))
+        .select(*ties, F.explode(F.sequence(last - F.col("__copies") + 1, last)).alias(name))
     )
-    return short.unionByName(long)
 
 
 def _as_long(column: str, kind: str) -> Column | None:
@@ -181,7 +150,7 @@ def first_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
 
 
 def _numbered_first(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
-    numbered = number_rows(df, [], order, name="__row_no", group_rows=0, largest=1)
+    numbered = number_rows(df, [], order, name="__row_no")
     return numbered.where(F.col("__row_no") <= n).drop("__row_no")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import TAG, TIME
 from ..storage import cut, join_measured
-from .ranking import GROUP_ROWS_ONE_TASK, number_rows
+from .ranking import number_rows
 
 # Copies appended by an extension, and the share of batches that are shuffled.
 EXTENSION_COPIES = 1000
@@ -70,13 +70,12 @@ def extend_series(
     copies: int = EXTENSION_COPIES,
     time: str = TIME,
     tag: str = TAG,
-    group_rows: int = GROUP_ROWS_ONE_TASK,
 ) -> DataFrame:
     """Every series followed by ``copies`` repetitions of its values in steps of one time unit.
 
     The first appended point repeats the last time of the series.
     """
-    numbered = number_rows(df, [tag], [time], name="__row_no", group_rows=group_rows)
+    numbered = number_rows(df, [tag], [time], name="__row_no")
     lengths = cut(
         df.groupBy(tag).agg(F.max(time).alias("__last"), F.count(F.lit(1)).alias("__n"))
     )

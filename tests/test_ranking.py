@@ -1,4 +1,4 @@
-"""The route for large groups gives the numbers of an ordinary window."""
+"""Numbering in slices gives the numbers of an ordinary window."""
 
 import random
 
@@ -35,12 +35,12 @@ def skewed():
 SCHEMA = "k string, t long, v double"
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
+@pytest.mark.parametrize("run", [30, 100_000])
 @pytest.mark.parametrize("keys", [["k"], []])
-def test_number_rows(spark, skewed, limit, keys, monkeypatch):
-    monkeypatch.setattr(ranking, "COPIES_PER_RUN", 30)
+def test_number_rows(spark, skewed, run, keys, monkeypatch):
+    monkeypatch.setattr(ranking, "COPIES_PER_RUN", run)
     df = spark.createDataFrame(skewed, SCHEMA).repartition(5)
-    got = number_rows(df, keys, ["t"], name="n", group_rows=limit)
+    got = number_rows(df, keys, ["t"], name="n")
     rows = sorted((tuple([r.n, r.k, r.t, r.v]) for r in got.collect()), key=repr)
     key = (lambda r: r[0]) if keys else (lambda r: 0)
     ordered = lambda r: (r[1], r[0] is not None, r[0] or "", r[2])
@@ -49,7 +49,7 @@ def test_number_rows(spark, skewed, limit, keys, monkeypatch):
 
 def test_number_rows_descending(spark, skewed):
     df = spark.createDataFrame(skewed, SCHEMA)
-    got = number_rows(df, ["k"], [F.col("t").desc(), F.col("v").desc()], group_rows=0)
+    got = number_rows(df, ["k"], [F.col("t").desc(), F.col("v").desc()])
     for _, rows in _by(got.collect(), "k").items():
         rows.sort(key=lambda r: r.row_no)
         assert [r.row_no for r in rows] == list(range(1, len(rows) + 1))
@@ -105,16 +105,21 @@ def test_first_rows_per_group(spark, skewed):
         k: min(7, len(g)) for k, g in _by(many, "k").items()}
 
 
-def test_grouping_and_extension_agree_on_both_routes(spark, skewed):
-    df = spark.createDataFrame([tuple(x) for x in skewed],
-                               "deviceId string, time long, value double")
-    long = df.withColumn("field", F.lit("f"))
-    a, b = (
-        sorted(map(repr, group_points(long, 50, group_rows=n).collect())) for n in (0, 10_000)
-    )
-    assert a == b
-    assert max(len(r.datapoints) for r in group_points(long, 50, group_rows=0).collect()) == 50
-    c, d = (
-        sorted(map(repr, extend_series(df, 3, group_rows=n).collect())) for n in (0, 10_000)
-    )
-    assert c == d and len(c) == 4 * len(skewed)
+def test_number_rows_of_nothing(spark):
+    assert number_rows(spark.createDataFrame([], SCHEMA), ["k"], ["t"]).count() == 0
+
+
+def test_grouping_and_extension(spark, skewed):
+    df = spark.createDataFrame(skewed, "deviceId string, time long, value double")
+    batches = group_points(df.withColumn("field", F.lit("f")), 50).collect()
+    extended = _by(extend_series(df, 3).collect(), "deviceId")
+    for device, rows in _by(df.collect(), "deviceId").items():
+        own = sorted((r for r in batches if r.deviceId == device), key=lambda r: r.batch)
+        assert [len(r.datapoints) for r in own] == [
+            min(50, len(rows) - at) for at in range(0, len(rows), 50)]
+        points = [tuple(p) for r in own for p in r.datapoints]
+        assert [t for t, _ in points] == sorted(r.time for r in rows)
+        assert sorted(map(repr, points)) == sorted(repr((r.time, r.value)) for r in rows)
+        last = max(r.time for r in rows)
+        times = sorted(r.time for r in extended[device])
+        assert times == sorted(r.time for r in rows) + list(range(last, last + 3 * len(rows)))
