@@ -212,15 +212,19 @@ def normalized(spark, sf_dir):
 
 
 @registered("series_names", r"""
-    select page_id, regexp_extract(url, '^(.*)\.[^.]*$', 1) as device,
-           regexp_extract(url, '([^.]*)$', 1) as field from pages
-    where url like '%.%'""")
+    with series as (
+        select page_id, case when page_id % 3 = 0 then replace(url, '.', '-') else url end as "name"
+        from pages)
+    select page_id, case when "name" like '%.%' then regexp_extract("name", '^(.*)\.[^.]*$', 1)
+                         else regexp_extract("name", '([^/]*)$', 1) end as device,
+           regexp_extract("name", '([^.]*)$', 1) as field from series""")
 def series_names(spark, sf_dir):
-    cut = cut_position(F.col("url"))
-    return table(spark, sf_dir, "pages").where(cut > 0).select(
-        "page_id", device_part(F.col("url"), cut).alias("device"),
-        field_part(F.col("url"), cut).alias("field"),
-    )
+    """A name without a dot has no device of its own and takes that of its file."""
+    name = F.when(F.col("page_id") % 3 == 0, F.replace("url", F.lit("."), F.lit("-"))).otherwise(F.col("url"))
+    series = table(spark, sf_dir, "pages").select("page_id", name.alias("name"))
+    cut = cut_position(F.col("name"))
+    device = F.coalesce(device_part(F.col("name"), cut), file_stem(F.col("name")))
+    return series.select("page_id", device.alias("device"), field_part(F.col("name"), cut).alias("field"))
 
 
 @registered("path_parts", r"""
@@ -405,9 +409,21 @@ def by_id(spark, sf_dir):
     )
 
 
-@registered("jitter_time")
+@registered("jitter_time", """
+    select event_type, count(*) as points, true as within, true as moved, true as centred
+    from events group by event_type""")
 def jittered(spark, sf_dir):
-    return jitter_time(event_points(spark, sf_dir).select("time", "deviceId", "value"), 1000.0)
+    """Facts on the shifts: none beyond nine deviations, not all zero, their mean near zero."""
+    points = event_points(spark, sf_dir).select("event_id", "event_type", "time")
+    shift = F.col("time") - F.col("was")
+    return (
+        jitter_time(points.withColumn("was", F.col("time")), 1000.0)
+        .groupBy("event_type")
+        .agg(
+            F.count(F.lit(1)).alias("points"), F.every(F.abs(shift) <= 9000).alias("within"),
+            F.some(shift != 0).alias("moved"), (F.abs(F.avg(shift)) <= 500).alias("centred"),
+        )
+    )
 
 
 @registered("shuffle_batches", f"""

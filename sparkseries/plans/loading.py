@@ -20,6 +20,7 @@ from ..sources import (
     read_redd,
     read_tdrive,
     read_type_catalog,
+    scan_parquet,
 )
 from ..sources.csv_series import infer_file_schemas, read_headers
 from ..storage import new_path
@@ -330,8 +331,23 @@ def time_chunks(spark, sf_dir):
     return with_time_chunk(event_points(spark, sf_dir)).select("event_id", "time_chunk")
 
 
-@registered("output_size")
+@registered("sink_by_padded_device", f"""
+    select "time", '00' || (event_id % 5) as "deviceId", value from ({EVENT_POINTS})""")
+def sink_by_padded_device(spark, sf_dir):
+    """Devices that look like numbers keep their names as folders."""
+    path = new_path(spark, "by-padded-device")
+    device = F.concat(F.lit("00"), (F.col("event_id") % 5).cast("string"))
+    points = event_points(spark, sf_dir).select("time", device.alias("deviceId"), "value")
+    write_table(points, path, "parquet", "device")
+    return scan_parquet(spark, path, ["value"])
+
+
+@registered("output_size", """
+    select true as has_files, true as has_bytes, true as megabytes_match from events limit 1""")
 def size_of_output(spark, sf_dir):
     path = new_path(spark, "size")
     write_table(event_points(spark, sf_dir), path, "parquet", "single")
-    return output_size(spark, path)
+    return output_size(spark, path).select(
+        (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"),
+        (F.col("megabytes") * 1024 * 1024 == F.col("bytes")).alias("megabytes_match"),
+    )

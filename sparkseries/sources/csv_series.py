@@ -158,6 +158,18 @@ def _with_headers(lines: DataFrame, lookup: DataFrame) -> DataFrame:
     return joined.where((F.col("block") > 0) | (F.col("value") != F.col("header")))
 
 
+def _column_names(names: list[str]) -> list[str]:
+    """Names of the sensor columns; one named like a key column gets underscores until it is free."""
+    taken, out = {TIME, TAG, *names}, []
+    for name in names:
+        if name in (TIME, TAG):
+            while name in taken:
+                name += "_"
+            taken.add(name)
+        out.append(name)
+    return out
+
+
 def read_csv_series(
     spark: SparkSession,
     paths: str | list[str],
@@ -168,7 +180,8 @@ def read_csv_series(
     """All files as one wide table under their merged schema.
 
     Types are inferred, taken from ``catalog``, or given by ``schema``. Rows whose time
-    cannot be read are dropped; cells that do not fit their type are null.
+    cannot be read are dropped; cells that do not fit their type are null. A series named
+    like a key column is kept under that name with an underscore.
     """
     lines = read_lines(spark, paths)
     headers = read_headers(lines, options)
@@ -178,8 +191,10 @@ def read_csv_series(
             if catalog is None
             else catalog_file_schemas(headers, catalog)
         )
-        schema = to_struct(merge_schemas(columns.select("field", "type_rank", "precision")))
-    sensors = [f for f in schema.fields if f.name not in (TIME, TAG)]
+        merged = to_struct(merge_schemas(columns.select("field", "type_rank", "precision")))
+        sensors = merged.fields[2:]
+    else:
+        sensors = [f for f in schema.fields if f.name not in (TIME, TAG)]
     # The last of several columns with one name wins, so names are looked up from the end.
     names = F.expr(texts_sql([f.name for f in sensors]))
     from_end = F.transform(names, lambda n: F.array_position(F.col("backward"), n))
@@ -202,7 +217,7 @@ def read_csv_series(
     placed = [
         T.StructField(f"__value_{i}", f.dataType, f.nullable, f.metadata) for i, f in enumerate(sensors)
     ]
-    return wide.to(wide_schema(placed)).toDF(TIME, TAG, *[f.name for f in sensors])
+    return wide.to(wide_schema(placed)).toDF(TIME, TAG, *_column_names([f.name for f in sensors]))
 
 
 def read_csv_points(

@@ -323,3 +323,10 @@ def test_device_folders_keep_their_names(spark, tmp_path):
         write_table(df, path, kind, "device")
         got = sorted((r.time, r.deviceId) for r in scan(spark, path, ["v"]).collect())
         assert got == [(1, "007"), (2, "010")]
+
+
+def test_series_named_like_key_columns_are_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Time,time,deviceId,time_\n1,10,x,20\n")
+    table = read_csv_series(spark, str(tmp_path), CsvSeries(normalize=False))
+    row = table.first().asDict()
+    assert row == {"time": 1, "deviceId": "a", "time__": 10, "deviceId_": "x", "time_": 20}
