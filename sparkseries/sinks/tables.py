@@ -34,15 +34,14 @@ def write_table(
     """Write Parquet or ORC files, sorted by device and time.
 
     ``device``: a folder per device, for few devices. ``chunk``: a folder per time chunk.
-    ``single``: no folders. Chunked rows are cut by range of chunk, device and time, so a file holds
-    few devices and a device with most of the data is written by many tasks. The other layouts are
-    rebalanced by device; adaptive execution splits what is too large for one task.
+    ``single``: no folders. Rows are rebalanced by folder, or by device where there are none;
+    adaptive execution splits what is too large for one task and joins what is too small.
     """
     if layout == "device":
         folders, clustered = [tag], df.hint("rebalance", tag)
     elif layout == "chunk":
         folders = ["time_chunk"]
-        clustered = with_time_chunk(df, chunk, time).repartitionByRange("time_chunk", tag, time)
+        clustered = with_time_chunk(df, chunk, time).hint("rebalance", "time_chunk")
     elif layout == "single":
         folders, clustered = [], df.hint("rebalance", tag)
     else:

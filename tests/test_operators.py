@@ -276,20 +276,3 @@ def test_parts_and_discard(spark, wide, tmp_path):
     assert [p.rsplit("/", 1)[1] for p in paths] == ["root.d_1", "root.d_2", "root.d_3"]
     assert rows(read_parts(spark, paths)) == rows(wide)
     write_discard(wide)
-
-
-def test_files_of_a_chunk_hold_few_devices(spark, tmp_path):
-    rows = spark.range(4000).select(
-        F.col("id").alias("time"), F.concat(F.lit("d"), F.col("id") % 40).alias("deviceId"),
-        F.col("id").alias("v"),
-    )
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(key, "false")
-    try:
-        write_table(rows, str(tmp_path / "t"), "parquet", "chunk")
-    finally:
-        spark.conf.unset(key)
-    table = spark.read.parquet(str(tmp_path / "t")).withColumn("file", F.input_file_name())
-    assert table.count() == 4000
-    files = table.select("file").distinct().count()
-    assert table.where("deviceId = 'd7'").select("file").distinct().count() <= 2 < files
