@@ -39,20 +39,22 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def keep_one(docs: DataFrame, id: str, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``dropped``; of rows that repeat an id, one stays.
+def keep_decided(docs: DataFrame, id: str, digest: Column, decided: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``decided`` does not keep; of rows that repeat a key, one stays.
 
-    Only the repeated ids, if there are any, are compared with one another.
+    The key of a row is ``digest`` and its id, in ``decided`` (``text_sha256, doc_id, kept``) as well.
+    Only the repeated keys, if there are any, are compared with one another.
     """
-    columns = docs.columns
-    key = fresh(docs, "key")
-    gone = dropped.select(F.col(dropped.columns[0]).alias(key)).distinct()
-    same = F.col(f"`{id}`").eqNullSafe(F.col(key))
-    repeated = stored(
-        docs.groupBy(F.col(f"`{id}`").alias(key)).count().where("count > 1").select(key), "repeats"
+    sha, key_id, key = fresh(docs, "sha"), fresh(docs, "kept_id"), fresh(docs, "kept_sha")
+    keyed = docs.withColumn(sha, digest)
+    same = (F.col(sha) == F.col(key)) & F.col(f"`{id}`").eqNullSafe(F.col(key_id))
+    keys = decided.groupBy(F.col("text_sha256").alias(key), F.col("doc_id").alias(key_id)).agg(
+        F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("n")
     )
+    repeated = stored(keys.where("any_kept and n > 1").select(key, key_id), "repeats")
+    out = [f"`{c}`" for c in docs.columns]
     if repeated.isEmpty():
-        return docs.join(gone, same, "left_anti").select(*[f"`{c}`" for c in columns])
-    once = docs.join(gone.union(repeated), same, "left_anti")
-    many = docs.join(repeated, same, "left_semi").join(gone, same, "left_anti")
-    return once.unionByName(many.dropDuplicates([id])).select(*[f"`{c}`" for c in columns])
+        return keyed.join(keys.where("not any_kept").select(key, key_id), same, "left_anti").select(*out)
+    rest = keyed.join(keys.where("not any_kept or n > 1").select(key, key_id), same, "left_anti")
+    many = keyed.join(repeated, same, "left_semi").dropDuplicates([sha, id])
+    return rest.select(*out).unionByName(many.select(*out))

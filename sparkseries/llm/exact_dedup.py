@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import new_path
-from .common import fresh, lower_ascii, stored, text_of
+from .common import keep_decided, lower_ascii, stored, text_of
 
 
 class DigestIndex:
@@ -90,17 +90,6 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
 def without_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each text, all columns kept."""
-    sha, key_id, key = fresh(docs, "sha"), fresh(docs, "kept_id"), fresh(docs, "kept_sha")
     decided = stored(dedup(docs, id, text), "copies")
-    keyed = docs.withColumn(sha, F.sha2(lower_ascii(text_of(text)).cast("binary"), 256))
-    same = (F.col(sha) == F.col(key)) & F.col(f"`{id}`").eqNullSafe(F.col(key_id))
-    keys = decided.groupBy(F.col("text_sha256").alias(key), F.col("doc_id").alias(key_id)).agg(
-        F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("n")
-    )
-    repeated = stored(keys.where("any_kept and n > 1").select(key, key_id), "repeats")
-    out = [f"`{c}`" for c in docs.columns]
-    if repeated.isEmpty():
-        return keyed.join(keys.where("not any_kept").select(key, key_id), same, "left_anti").select(*out)
-    rest = keyed.join(keys.where("not any_kept or n > 1").select(key, key_id), same, "left_anti")
-    many = keyed.join(repeated, same, "left_semi").dropDuplicates([sha, id])
-    return rest.select(*out).unionByName(many.select(*out))
+    digest = F.sha2(lower_ascii(text_of(text)).cast("binary"), 256)
+    return keep_decided(docs, id, digest, decided)

@@ -16,10 +16,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_one, stored, text_of
+from .common import keep_decided, stored, text_of
 from .components import components
 
 # Rows of one anchor that are compared in one task; more are dealt out over pairs of parts.
@@ -53,8 +53,7 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed number; null texts count as empty."""
+def _fingerprint_of(text: str, shingle: int) -> Column:
 
     @F.pandas_udf("bigint")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -62,7 +61,12 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
             values = np.array([fingerprint(t, shingle) for t in part], dtype=np.uint64)
             yield pd.Series(values.view(np.int64))
 
-    return docs.select(F.col(f"`{id}`").alias("doc_id"), of(text_of(text)).alias("fp"))
+    return of(text_of(text)).alias("fp")
+
+
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """``doc_id`` and ``fp``, the fingerprint as a signed number; null texts count as empty."""
+    return docs.select(F.col(f"`{id}`").alias("doc_id"), _fingerprint_of(text, shingle))
 
 
 def _syndromes(first: int) -> np.ndarray:
@@ -223,6 +227,17 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return _compare(dealt.sortWithinPartitions("anchor", "cell"), max_bits).distinct()
 
 
+def _least(prints: DataFrame, column: str, max_bits: int) -> DataFrame:
+    """Each ``fp`` with the least ``column`` of its component, as ``least``; nulls do not count."""
+    if not 0 <= max_bits <= 3:
+        raise ValueError("anchors are made for at most 3 differing bits")
+    distinct = stored(prints.groupBy("fp").agg(F.min(column).alias("least")), "distinct")
+    roots = components(links(distinct.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root")
+    labelled = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("least"))
+    return stored(labelled.select("fp", "root").join(least, "root").select("fp", "least"), "labels")
+
+
 def near_groups(
     docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3
 ) -> DataFrame:
@@ -234,22 +249,27 @@ def near_groups(
     the smallest id of the component, null if it has only null ids. Repeated rows stay. An empty
     table gives an empty result; other columns are not looked at.
     """
-    if not 0 <= max_bits <= 3:
-        raise ValueError("anchors are made for at most 3 differing bits")
     prints = stored(fingerprints(docs, id, text, shingle), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root")
-    labelled = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = stored(labelled.join(least, "root").select("fp", "component_id"), "labels")
-    return prints.join(labels, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    return prints.join(_least(prints, "doc_id", max_bits), "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("least").alias("component_id"),
     )
 
 
 def one_of_each(
     docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3
 ) -> DataFrame:
-    """``docs`` with the smallest id of each group of near duplicates, all columns kept."""
-    groups = stored(near_groups(docs, id, text, shingle, max_bits), "groups")
-    return keep_one(docs, id, groups.where("not (doc_id <=> component_id)").select("doc_id"))
+    """``docs`` with one row of each group of near duplicates, all columns kept.
+
+    It is the row of the smallest id, null last, and of equal ids that of the least text digest. Rows
+    that share an id, or have none, stay if their texts are in no group with another row.
+    """
+    digest = F.sha2(text_of(text).cast("binary"), 256)
+    own = F.col(f"`{id}`")
+    row = F.struct(own.isNull().alias("none"), own.alias("id"), digest.alias("digest"))
+    prints = stored(docs.select(row.alias("row"), _fingerprint_of(text, shingle)), "fingerprints")
+    decided = prints.join(_least(prints, "row", max_bits), "fp").select(
+        F.col("row.id").alias("doc_id"), F.col("row.digest").alias("text_sha256"),
+        F.col("row").eqNullSafe(F.col("least")).alias("kept"),
+    )
+    return keep_decided(docs, id, digest, stored(decided, "groups"))

@@ -135,6 +135,19 @@ def test_simhash_of_odd_rows(frame):
     assert simhash.near_groups(frame(ODD).limit(0)).count() == 0
 
 
+def test_near_dedup_decides_by_row(frame):
+    """Null and shared ids: only rows of one component stand for each other."""
+    one, other, third = ("alpha " * 30, "one two three four five six seven", "north south east west up down")
+    rows = [
+        (1, one, "en", "s"), (None, one, "en", "s"), (None, other, "en", "s"), (None, third, "en", "t"),
+        (5, "sun moon star sky cloud rain", "en", "s"), (5, "iron gold lead tin zinc brass", "en", "s"),
+        (6, "iron gold lead tin zinc brass", "en", "s"), (7, "red green blue", "en", "s"), (7, "red green blue", "en", "s"),
+        (None, third, "en", "t"),
+    ]
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(frame(rows)).collect())
+    assert got == sorted([(1, one), (0, other), (0, third), (5, rows[4][1]), (5, rows[5][1]), (7, "red green blue")])
+
+
 def pieces_hold(rows, texts):
     tokenizer = Tokenizer.from_file(BPE)
     tokenizer.encode_special_tokens = True
