@@ -1,9 +1,10 @@
 """Main text of web pages from text-to-tag ratios of lines.
 
-Parser events become lines, one for each block. Subtrees that by element, role or class are not the
+Parser events become lines, one for each block. Subtrees that by element, role or style are not the
 article take no part. The ratio of text length to tags of each line is smoothed by a Gaussian and split
 into two clusters; the regions (articles, mains, other containers) that hold a line of the upper
-cluster are the content, with all of their lines.
+cluster are the content, with all of their lines. A subtree whose class or id sounds like an aside is
+smoothed by itself and left out if it holds no article and no line of the upper cluster.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ WORDS = set(
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
             "toolbar".split())
+# A name with one of these tells of the layout around a part, not of the part.
+MODIFIERS = set("has no not with without is fixed sticky overflow".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -60,32 +63,44 @@ def _aside(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
     style = (attrs.get("style") or "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style:
         return True
-    names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()
-    words = set(SPLIT.split(names))
+    return False
+
+
+def _named(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
+    """Whether class or id sound like an aside; the lines decide whether it is one."""
+    if tag in ("html", "body", "article", "main") or tag in HEADINGS:
+        return False
+    words = set()
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        parts = set(SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        if not parts & MODIFIERS:
+            words |= parts
     if in_article and tag == "header":
         words -= {"header", "masthead", "banner"}
     return bool(words & WORDS)
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags before and in it, and the region that holds it."""
+    """Lines of a page: text, tags before and in it, the region and the named subtree that hold it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # element, whether it takes no part, region
-        self.lines: list[tuple[str, int, int]] = []
+        # Element, whether it takes no part, region, innermost named subtree (0: none).
+        self.open: list[tuple[str, bool, int, int]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
         self.tags, self.count = 0, 0
         self.article: set[int] = set()
+        self.around = [0]  # the named subtree around each
+        self.holds = [True]  # whether it holds an article or main
 
-    def _state(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+    def _state(self) -> tuple[bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, 0)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self._state()[1]))
+            self.lines.append((text, self.tags, *self._state()[1:]))
             self.tags = 0
         self.text = []
 
@@ -110,15 +125,23 @@ class Lines(HTMLParser):
                     break
                 if self.open[k][0] in BLOCKS:
                     break
-        aside, region = self._state()
+        aside, region, named = self._state()
         in_article = region in self.article
         aside = aside or _aside(tag, dict(attrs), in_article)
+        if not aside and _named(tag, dict(attrs), in_article):
+            self.around.append(named)
+            self.holds.append(False)
+            named = len(self.holds) - 1
         if not aside and (tag in ("article", "main") or tag in REGIONS and not in_article):
             self.count += 1
             region = self.count
             if tag in ("article", "main"):
                 self.article.add(region)
-        self.open.append((tag, aside, region))
+                at = named
+                while not self.holds[at]:
+                    self.holds[at] = True
+                    at = self.around[at]
+        self.open.append((tag, aside, region, named))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -144,6 +167,19 @@ class Lines(HTMLParser):
     def done(self) -> None:
         self.close()
         self.flush()
+        # Subtrees that hold an article are like what is around them.
+        own = list(range(len(self.holds)))
+        for n in own[1:]:
+            self.around[n] = own[self.around[n]]
+            if self.holds[n]:
+                own[n] = self.around[n]
+        self.lines = [(text, tags, region, own[n]) for text, tags, region, n in self.lines]
+
+
+def _smooth(ratio: np.ndarray, sigma: float) -> np.ndarray:
+    reach = math.ceil(3 * sigma)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    return np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
 def _upper(values: np.ndarray) -> np.ndarray:
@@ -167,20 +203,30 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     page.done()
     if not page.lines:
         return ""
-    ratio = np.array([len(text) / max(tags, 1) for text, tags, _ in page.lines])
-    reach = math.ceil(3 * sigma)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    smooth = np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), "valid")
-    region = np.array([r for _, _, r in page.lines])
-    chosen = {int(r) for r in region[_upper(smooth)]}
+    ratio = np.array([len(text) / max(tags, 1) for text, tags, *_ in page.lines])
+    named = np.array([n for *_, n in page.lines])
+    order = np.argsort(named, kind="stable")
+    smooth = np.empty(len(ratio))
+    for part in np.split(order, np.nonzero(np.diff(named[order]))[0] + 1):
+        smooth[part] = _smooth(ratio[part], sigma)
+    upper = _upper(smooth)
+    live = np.zeros(len(page.around), bool)
+    live[named[upper]] = live[0] = True
+    for n in range(len(live) - 1, 0, -1):
+        live[page.around[n]] |= live[n]
+    kept = live[named]
+    page.lines = [line for line, keep in zip(page.lines, kept) if keep]
+    upper = upper[kept]
+    region = np.array([r for _, _, r, _ in page.lines])
+    chosen = {int(r) for r in region[upper]}
     weight = {r: 0 for r in chosen}
-    for text, _, r in page.lines:
+    for text, _, r, _ in page.lines:
         if r in weight:
             weight[r] += len(text)
     marked = {r for r in page.article if weight.get(r, 0) > 0}
     if marked:  # articles say themselves what they are
         chosen = marked | {r for r in page.article if r in set(region.tolist())}
-    return "\n".join(text for text, _, r in page.lines if r in chosen)
+    return "\n".join(text for text, _, r, _ in page.lines if r in chosen)
 
 
 def extract(

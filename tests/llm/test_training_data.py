@@ -302,6 +302,22 @@ def test_pages():
     assert html_text.main_text("text only") == "text only"
 
 
+STORY = "Some long words of the story that go on and on. " * 8
+
+
+def test_names_alone_drop_no_text():
+    want = [STORY.strip(), "Second. " + STORY.strip()]
+    body = "".join(f"<p>{t}</p>" for t in want)
+    aside = "<div class='sidebar'><ul><li><a>More</a></li><li><a>Else</a></li></ul></div>"
+    for around in ('class="layout no-sidebar"', 'id="page" class="has-nav"', 'class="content header-fixed"', 'class="sidebar-layout"'):
+        for inner in ("<article>%s</article>", "<main>%s</main>", "%s"):
+            assert html_text.main_text(f"<body><div {around}>{inner % body}</div>{aside}") == "\n".join(want), around
+    article = f"<article>{body}<section id='related-work'><p>{STORY}</p></section><div class='social-history'><p>{STORY}</p></div>"
+    assert html_text.main_text(f"<body>{article}</article>{aside}") == "\n".join([*want, STORY.strip(), STORY.strip()])
+    small = "<div class='share'><a>x</a> <a>y</a></div>"
+    assert html_text.main_text(f"<body><article>{body}{small}</article>") == "\n".join(want)
+
+
 def test_pages_table(spark, duck):
     import html
 
