@@ -2,8 +2,9 @@
 
 Parser events become lines, one for each block. Subtrees that by element, role or style are not the
 article take no part. The ratio of text length to tags of each line is smoothed by a Gaussian and split
-into two clusters; the regions (articles, mains, other containers) that hold a line of the upper
-cluster are the content, with all of their lines. A subtree whose class or id sounds like an aside is
+into two clusters, lines of articles and mains with more weight. The content is the nearest container
+of all lines of the upper cluster, or the article around it, with all of its lines; where that is the
+page itself, what lies between the first and the last part that hold such a line. A subtree whose class or id sounds like an aside is
 smoothed by itself and left out if it holds no article and no line of the upper cluster.
 """
 
@@ -26,7 +27,8 @@ HIDDEN = set("script style noscript template svg math head title iframe object e
              "select option textarea button datalist".split())
 ASIDE = set("nav footer aside form dialog menu search".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-REGIONS = set("article main section div body td header".split())
+REGIONS = set("article main section div td header".split())
+ARTICLE_WEIGHT = 2.0
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary "
@@ -89,8 +91,10 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int, int]] = []
         self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
-        self.tags, self.count = 0, 0
+        self.tags = 0
         self.article: set[int] = set()
+        self.parent = [0]  # the region around each; 0 is the page
+        self.heads: set[int] = set()  # lines of headings
         self.around = [0]  # the named subtree around each
         self.holds = [True]  # whether it holds an article or main
 
@@ -100,6 +104,8 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
+            if any(entry[0] in HEADINGS for entry in self.open[-3:]):
+                self.heads.add(len(self.lines))
             self.lines.append((text, self.tags, *self._state()[1:]))
             self.tags = 0
         self.text = []
@@ -132,11 +138,12 @@ class Lines(HTMLParser):
             self.around.append(named)
             self.holds.append(False)
             named = len(self.holds) - 1
-        if not aside and (tag in ("article", "main") or tag in REGIONS and not in_article):
-            self.count += 1
-            region = self.count
-            if tag in ("article", "main"):
+        if not aside and tag in REGIONS:
+            self.parent.append(region)
+            region = len(self.parent) - 1
+            if in_article or tag in ("article", "main"):
                 self.article.add(region)
+            if tag in ("article", "main"):
                 at = named
                 while not self.holds[at]:
                     self.holds[at] = True
@@ -196,6 +203,43 @@ def _upper(values: np.ndarray) -> np.ndarray:
     return values > (low + high) / 2
 
 
+def _content(
+    parent: list[int], inside: np.ndarray, region: np.ndarray, upper: np.ndarray, heads: np.ndarray
+) -> np.ndarray:
+    """Which lines are content. Regions are numbered in the order of their starts."""
+    last = list(range(len(parent)))  # the last region in each
+    for r in range(len(parent) - 1, 0, -1):
+        last[parent[r]] = max(last[parent[r]], last[r])
+    chosen = region[upper]
+    low, high = int(chosen.min()), int(chosen.max())
+    common = low
+    while last[common] < high:
+        common = parent[common]
+    while common and inside[parent[common]]:  # an article is not cut
+        common = parent[common]
+    if common:
+        return (region >= common) & (region <= last[common])
+
+    def part(line: int) -> np.ndarray:
+        """The lines of the part of the page that holds ``line``; one that is in none is its own."""
+        r = int(region[line])
+        if not r:
+            return np.array([line])
+        while parent[r]:
+            r = parent[r]
+        return np.nonzero((region >= r) & (region <= last[r]))[0]
+
+    lines = np.nonzero(upper)[0]
+    first, end = part(lines[0])[0], part(lines[-1])[-1]
+    while first and heads[first - 1]:  # headings of what follows
+        first -= 1
+    take = region == 0
+    take[first:end + 1] = True
+    if inside[chosen].any():
+        take |= inside[region]
+    return take
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The main text of a page: its blocks in order, one a line; empty if there is none."""
     page = Lines()
@@ -204,7 +248,10 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not page.lines:
         return ""
     ratio = np.array([len(text) / max(tags, 1) for text, tags, *_ in page.lines])
-    named = np.array([n for *_, n in page.lines])
+    region, named = (np.array(x) for x in zip(*[line[2:] for line in page.lines]))
+    inside = np.zeros(len(page.parent), bool)  # regions in an article or main
+    inside[list(page.article)] = True
+    ratio *= np.where(inside[region], ARTICLE_WEIGHT, 1)
     order = np.argsort(named, kind="stable")
     smooth = np.empty(len(ratio))
     for part in np.split(order, np.nonzero(np.diff(named[order]))[0] + 1):
@@ -215,18 +262,11 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     for n in range(len(live) - 1, 0, -1):
         live[page.around[n]] |= live[n]
     kept = live[named]
-    page.lines = [line for line, keep in zip(page.lines, kept) if keep]
-    upper = upper[kept]
-    region = np.array([r for _, _, r, _ in page.lines])
-    chosen = {int(r) for r in region[upper]}
-    weight = {r: 0 for r in chosen}
-    for text, _, r, _ in page.lines:
-        if r in weight:
-            weight[r] += len(text)
-    marked = {r for r in page.article if weight.get(r, 0) > 0}
-    if marked:  # articles say themselves what they are
-        chosen = marked | {r for r in page.article if r in set(region.tolist())}
-    return "\n".join(text for text, _, r, _ in page.lines if r in chosen)
+    own = upper & (ratio >= smooth[upper].min())  # not lifted by their neighbours alone
+    upper = own if own.any() else upper
+    at = np.nonzero(kept)[0]
+    take = _content(page.parent, inside, region[at], upper[at], np.isin(at, list(page.heads)))
+    return "\n".join(page.lines[i][0] for i in at[take])
 
 
 def extract(

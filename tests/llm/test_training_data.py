@@ -318,6 +318,24 @@ def test_names_alone_drop_no_text():
     assert html_text.main_text(f"<body><article>{body}{small}</article>") == "\n".join(want)
 
 
+def test_clusters_choose_beside_articles():
+    links = "<div><a>a</a> <a>b</a> <a>c</a></div>"
+    story, card = f"<div id=story><p>{STORY}</p><p>{STORY}</p></div>", f"<article><p>Card. {STORY}</p></article>"
+    for page in (story + card, card + story):
+        text = html_text.main_text(f"<body>{links}{page}{links}")
+        assert text.count(STORY.strip()) == 3 and "Card." in text and "a b c" not in text
+
+
+def test_short_blocks_and_cells_stay():
+    links = "<div><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul></div>"
+    parts = ["<div><h1>Title</h1></div>", f"<div>{STORY}</div>", "<div>Short.</div>",
+             "<table><tr><td>x</td><td>1</td></tr><tr><td>y</td><td>2</td></tr></table>", f"<div>{STORY}</div>"]
+    want = ["Title", STORY.strip(), "Short.", "x", "1", "y", "2", STORY.strip()]
+    for around in ("%s", "<div id=content>%s</div>", "<section>%s<div>End.</div></section>"):
+        page = f"<body>{links}{around % ''.join(parts)}{links}"
+        assert html_text.main_text(page).split("\n") == want + ["End."] * ("End" in around), around
+
+
 def test_pages_table(spark, duck):
     import html
 
