@@ -2,8 +2,9 @@
 
 The patterns give the base spans. The field tags white-space separated tokens as begin, inside or
 outside of a secret from the shapes and words of the token and its neighbours and from features of
-the file. It learns from the base spans of a bounded sample, so that what looks and stands like
-them is found where no pattern matches. Tokens that no path can tag as a secret split a text, and what
+the file. It learns from the base spans of a bounded sample, and from one secret of a few fixed forms
+that is planted into each sampled text, of one token or of several (key blocks, pass phrases, grouped
+codes), so that what looks and stands like them is found where no pattern matches. Tokens that no path can tag as a secret split a text, and what
 lies between them is decoded by Viterbi.
 """
 
@@ -30,11 +31,21 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
-SHAPES, WORDS, FILES = 4096, 2048, 16
-SLOTS = (SHAPES, WORDS, SHAPES, WORDS, SHAPES, WORDS, FILES)
+SHAPES, WORDS, FILES, EDGES = 4096, 2048, 16, 100
+SLOTS = (SHAPES, WORDS, SHAPES, WORDS, SHAPES, WORDS, FILES, EDGES, EDGES, EDGES)
 WINDOW = 16  # tokens of a training example
 PIECE = 1 << 20  # characters that are laid out at a time
 LEAST = 6  # characters of a span, as for the assigned ones
+# Signs at the edges of a token: quotes, colon and equal sign, dash, others.
+EDGE_SIGNS = np.zeros(128, np.int64)
+for _kind, _signs in enumerate(("\"'`", ":=", "-", ".,;!?()[]{}<>*&%$#|/"), 1):
+    EDGE_SIGNS[[ord(c) for c in _signs]] = _kind
+# Forms of planted secrets, with the words that lead to them.
+PHRASES = ("passphrase", "pass phrase", "seed phrase", "recovery phrase", "mnemonic")
+CODES = ("", "recovery code", "backup code", "license key", "activation key", "access code")
+BLOCKS = ("PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY")
+LEADS = ("", "", "pwd=", "pass=", "auth:", "credential=", "sk_live_", "ghp_", "xoxb-")
+CONTEXT = 24  # tokens that are kept on each side of a planted secret
 TRIM = "\"'`.,;:!?()[]{}<>=*&%$#|"
 
 
@@ -52,13 +63,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def tokens(text: str) -> tuple[np.ndarray, ...]:
-    """``(start, end, shape, word)`` of the white-space separated tokens."""
+    """``(start, end, shape, word, edge)`` of the white-space separated tokens."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     solid = (points > 32) & (points != 0xA0)
     edge = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
     start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
     if not len(start):
-        return start, end, start, start
+        return start, end, start, start, start
     c = points[solid]
     at = np.concatenate(([0], np.cumsum(end - start)[:-1]))
     length = end - start
@@ -91,20 +102,29 @@ def tokens(text: str) -> tuple[np.ndarray, ...]:
     mixed = np.where(letter & (place < 12), low * power[np.minimum(place, 11)], np.uint64(0))
     word = np.add.reduceat(mixed, at)
     word = (word ^ word >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(53)
-    return start, end, shape.astype(np.int64), word.astype(np.int64)
+    # The first and last sign of a token, and line breaks or the text's ends beside it.
+    sign = EDGE_SIGNS[np.minimum(points, 127)]
+    lines = np.concatenate(([0], np.cumsum(points == 10)))
+    broken = np.concatenate(([1], lines[start[1:]] - lines[end[:-1]], [1])) > 0
+    edge = sign[start] + 5 * sign[end - 1] + 25 * broken[:-1] + 50 * broken[1:]
+    return start, end, shape.astype(np.int64), word.astype(np.int64), edge
 
 
-def features(shape: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The feature of each token in each slot; neighbours beyond the text are shape and word 0."""
+def features(shape: np.ndarray, word: np.ndarray, edge: np.ndarray, file: int | None = None) -> np.ndarray:
+    """The feature of each token in each slot; neighbours beyond the text are shape, word and edge 0.
+
+    ``file`` is the feature of the file if the tokens are only a part of it.
+    """
     n = len(shape)
     out = np.zeros((len(SLOTS), n), np.int64)
-    out[0], out[1] = shape, word
-    out[2, 1:], out[3, 1:] = shape[:-1], word[:-1]
-    out[4, :-1], out[5, :-1] = shape[1:], word[1:]
+    for slot, own in ((0, shape), (1, word), (7, edge)):
+        step = 2 if slot < 7 else 1
+        out[slot] = own
+        out[slot + step, 1:], out[slot + 2 * step, :-1] = own[:-1], own[1:]
     if n:
         coded = np.mean((shape & 32 + 64) > 0)
         signs = np.mean((shape & 512) > 0)
-        out[6] = min(3, int(coded * 50)) + 4 * min(3, int(signs * 50))
+        out[6] = min(3, int(coded * 50)) + 4 * min(3, int(signs * 50)) if file is None else file
     return out
 
 
@@ -157,30 +177,35 @@ class Field:
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
 
     def tag(self, feats: np.ndarray) -> np.ndarray:
-        """The best tags of one text.
+        """The best tags of one text."""
+        return self.tags([feats])[0]
+
+    def tags(self, parts: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of each text.
 
-        A token whose score for outside exceeds the others by more than any transitions can make up
-        is outside on every best path, so the rest is decoded between such tokens.
+        A token whose score for outside exceeds the others by more than the transitions on its two
+        sides can make up is outside on every best path, so the rest is decoded between such tokens.
         """
-        e = self.emissions(feats)
-        bound = 2 * (self.change.max() - self.change.min())
-        loose = e[:, OUTSIDE] - e[:, 1:].max(1) <= bound
+        sizes = np.array([p.shape[1] for p in parts], np.int64)
+        ends = np.cumsum(sizes)
+        e = self.emissions(np.concatenate(parts, axis=1))
+        begin, end = np.zeros(len(e) + 1, bool), np.zeros(len(e) + 1, bool)
+        begin[ends - sizes] = end[ends - 1] = True
+        gain = np.maximum((self.change - self.change[:, [OUTSIDE]]).max(0), 0)
+        gain = gain + np.maximum((self.change - self.change[[OUTSIDE]]).max(1), 0)
+        loose = (e[:, [OUTSIDE]] - e[:, 1:] <= gain[1:] + 1e-3).any(1)
         tags = np.zeros(len(e), np.uint8)
         at = np.nonzero(loose)[0]
-        if not len(at):
-            return tags
-        new = np.diff(at, prepend=-2) > 1
-        first = np.nonzero(new)[0]
-        last = np.append(first[1:], len(at)) - 1
-        scores = e[at].copy()
-        inner = at[first] > 0
-        scores[first[inner]] += self.change[OUTSIDE]
-        inner = at[last] < len(e) - 1
-        scores[last[inner]] += self.change[:, OUTSIDE]
-        tags[at] = best_paths(
-            scores.astype(np.float32), last - first + 1, self.change.astype(np.float32)
-        )
-        return tags
+        if len(at):
+            first = np.nonzero((np.diff(at, prepend=-2) > 1) | begin[at])[0]
+            last = np.append(first[1:], len(at)) - 1
+            scores = e[at].copy()
+            scores[first[~begin[at[first]]]] += self.change[OUTSIDE]
+            scores[last[~end[at[last]]]] += self.change[:, OUTSIDE]
+            tags[at] = best_paths(
+                scores.astype(np.float32), last - first + 1, self.change.astype(np.float32)
+            )
+        return np.split(tags, ends[:-1])
 
 
 def _gold(start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int, int, int]]) -> np.ndarray:
@@ -194,68 +219,163 @@ def _gold(start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int, int, i
     return tags
 
 
-def train(docs: DataFrame, id: str = "doc_id", text: str = "text", rows: int = 3000) -> Field:
-    """A field learned from the base spans of at most ``rows`` texts, those of the least hashes of the id."""
-    sample = (
-        docs.select(F.col(f"`{id}`").alias("key")).where("key is not null").distinct()
-        .orderBy(F.xxhash64("key"), "key").limit(rows)
-    )
-    found = (
-        docs.select(F.col(f"`{id}`").alias("key"), text_of(text).alias("text"))
-        .join(F.broadcast(sample), "key").groupBy("key").agg(F.min("text").alias("text"))
-        .orderBy("key").collect()
-    )
+def planted(draw: np.random.Generator, words: list[str]) -> tuple[str, str, str]:
+    """What leads to a secret, the secret, and what follows it: one token, key block, phrase or codes.
+
+    Phrases are made of ``words``.
+    """
+    some = lambda signs, n: "".join(signs[k] for k in draw.integers(0, len(signs), n))
+    one = lambda of: of[draw.integers(0, len(of))]
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    letters = upper + upper.lower() + digits
+    form = draw.integers(0, 4)
+    if form == 0:
+        return "", one(LEADS) + some(letters, draw.integers(18, 41)), ""
+    if form == 1:
+        name = one(BLOCKS)
+        lines = [some(letters + "+/", 64) for _ in range(draw.integers(1, 9))]
+        lines.append(some(letters + "+/", draw.integers(8, 64)))
+        return "\n", "\n".join((f"-----BEGIN {name}-----", *lines, f"-----END {name}-----")), "\n"
+    sign = one((": ", " = ", " is "))
+    if form == 2:
+        quote = one(('"', "'", ""))
+        phrase = " ".join(one(words) for _ in range(draw.integers(4, 10)))
+        return one(PHRASES) + (sign if quote or sign != " is " else ": ") + quote, phrase, quote or "\n"
+    lead, size = one(CODES), draw.integers(4, 7)
+    groups = [some(upper + digits * 2, size) for _ in range(draw.integers(3, 7))]
+    return lead and lead + sign, " ".join(groups), ""
+
+
+def _plant(text: str, start: np.ndarray, end: np.ndarray, draw: np.random.Generator) -> tuple[str, int, int]:
+    """The surroundings of a place of ``text``, a secret planted there, and its start and end."""
+    at = int(draw.integers(0, len(start)))
+    left, right = max(0, at - CONTEXT), min(len(start), at + CONTEXT)
+    before, after = text[start[left]:start[at]], text[start[at]:end[right - 1]]
+    words = [w for w in (before + after).lower().split() if w.isalpha() and 2 < len(w) < 10]
+    lead, secret, rest = planted(draw, words or ["word", "other"])
+    begin = len(before) + len(lead)
+    return f"{before}{lead}{secret}{rest} {after}", begin, begin + len(secret)
+
+
+def learn(texts: list[str]) -> Field:
+    """A field learned from the base spans of ``texts`` and one planted secret in each."""
     draw = np.random.default_rng(5)
     feats, tags = [], []
-    for row in found:
-        start, end, shape, word = tokens(row["text"])
-        if len(start) < WINDOW:
-            continue
-        f, gold = features(shape, word), _gold(start, end, base_spans(row["text"]))
-        top = len(start) - WINDOW
-        begins = np.nonzero(gold == BEGIN)[0]
+
+    def windows(f: np.ndarray, gold: np.ndarray, begins: np.ndarray, more: int) -> None:
+        top = len(gold) - WINDOW
         at = set(np.clip(begins - draw.integers(2, WINDOW - 2, len(begins)), 0, top).tolist())
-        at |= set(draw.integers(0, top + 1, 3).tolist())
+        at |= set(draw.integers(0, top + 1, more).tolist())
         for a in sorted(at):
             feats.append(f[:, a:a + WINDOW])
             tags.append(gold[a:a + WINDOW])
+
+    for text in texts:
+        start, end, *kinds = tokens(text)
+        if len(start) < WINDOW:
+            continue
+        f, gold = features(*kinds), _gold(start, end, base_spans(text))
+        windows(f, gold, np.nonzero(gold == BEGIN)[0], 3)
+        part, begin, stop = _plant(text, start, end, draw)
+        start, end, *kinds = tokens(part)
+        if len(start) < WINDOW:
+            continue
+        spans = [(begin, 3, stop, begin)]
+        spans += [s for s in base_spans(part) if s[2] <= begin or stop <= s[0]]
+        gold = _gold(start, end, spans)
+        a = int(np.searchsorted(end, begin, side="right"))
+        b = int(np.searchsorted(start, stop))
+        # The secret's start, and its end with what follows.
+        windows(features(*kinds, file=int(f[6, 0])), gold, np.unique([a, max(a, b - 2)]), 0)
     field = Field()
     if feats:
         field.fit(np.stack(feats, axis=1), np.stack(tags))
     return field
 
 
-def field_spans(field: Field, text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """``(start, kind, end)`` of what the field adds to the base spans."""
-    added = []
-    taken = sorted((s, e) for s, _, e, _ in base)
-    begins = np.array([s for s, _ in taken])
-    reach = np.maximum.accumulate(np.array([e for _, e in taken])) if taken else begins
-    at = 0
-    while at < len(text):
-        stop = min(len(text), at + PIECE)
-        if stop < len(text):
-            cut = text.rfind(" ", at + 1, stop)
-            stop = cut + 1 if cut > 0 else stop
-        start, end, shape, word = tokens(text[at:stop])
-        if len(start):
-            tags = field.tag(features(shape, word))
-            for i in np.nonzero(tags == BEGIN)[0]:
-                j = i
-                while j + 1 < len(tags) and tags[j + 1] == INSIDE:
-                    j += 1
-                a, b = at + int(start[i]), at + int(end[j])
-                while a < b and text[a] in TRIM:
-                    a += 1
-                while a < b and text[b - 1] in TRIM:
-                    b -= 1
-                k = int(np.searchsorted(begins, b))
-                if b - a >= LEAST and (k == 0 or reach[k - 1] <= a):
-                    added.append((a, 3, b))
-        at = stop
+def train(docs: DataFrame, id: str = "doc_id", text: str = "text", rows: int = 3000) -> Field:
+    """A field learned from at most ``rows`` texts, those of the least hashes of the id."""
+    sample = (
+        docs.select(F.col(f"`{id}`").alias("key")).where("key is not null").distinct()
+        .orderBy(F.xxhash64("key"), "key").limit(rows)
+    )
+    found = (
+        docs.select(F.col(f"`{id}`").alias("key"), text_of(text).alias("text"))
+        .join(F.broadcast(sample), "key").groupBy("key").agg(F.min("text").alias("text"))
+        .orderBy("key").collect()
+    )
+    return learn([row["text"] for row in found])
+
+
+def field_spans(
+    field: Field, texts: list[str], bases: list[list[tuple[int, int, int, int]]]
+) -> list[list[tuple[int, int, int]]]:
+    """``(start, kind, end)`` of what the field adds to the base spans of each text.
+
+    Pieces of several texts are decoded together.
+    """
+    added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    takens = [_Taken(base) for base in bases]
+    todo = [(k, 0) for k in range(len(texts) - 1, -1, -1) if texts[k]]
+    while todo:
+        pieces, size = [], 0
+        while todo and (not pieces or size + len(texts[todo[-1][0]]) - todo[-1][1] <= PIECE):
+            k, at = todo.pop()
+            text = texts[k]
+            stop = min(len(text), at + PIECE)
+            if stop < len(text):
+                cut = max(text.rfind(" ", at + 1, stop), text.rfind("\n", at + 1, stop))
+                stop = cut + 1 if cut > 0 else stop
+            size += stop - at
+            pieces.append((k, at, stop, *tokens(text[at:stop])))
+        found = [p for p in pieces if len(p[3])]
+        tags = field.tags([features(*p[5:]) for p in found]) if found else []
+        tags_of = {p[0]: t for p, t in zip(found, tags)}
+        for k, at, stop, start, end, *_ in pieces:
+            if len(start):
+                stop = _spans(texts[k], at, stop, start, end, tags_of[k], takens[k], added[k])
+            if stop < len(texts[k]):
+                todo.append((k, stop))
     return added
 
 
+class _Taken:
+    """What the base spans of a text cover."""
+
+    def __init__(self, base: list[tuple[int, int, int, int]]) -> None:
+        self.begins = np.array([s for s, *_ in base], np.int64)
+        self.reach = np.maximum.accumulate(np.array([-1] + [e for _, _, e, _ in base], np.int64))
+
+    def free(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.reach[np.searchsorted(self.begins, end)] <= start
+
+
+def _spans(
+    text: str, at: int, stop: int, start: np.ndarray, end: np.ndarray, tags: np.ndarray, taken: _Taken,
+    added: list[tuple[int, int, int]],
+) -> int:
+    """Add the spans of a piece ``[at, stop)`` and return where the next one starts."""
+    before = np.append(np.uint8(OUTSIDE), tags[:-1])
+    for i in np.nonzero((tags == BEGIN) | (tags == INSIDE) & (before == OUTSIDE))[0]:
+        j = i
+        while j + 1 < len(tags) and tags[j + 1] == INSIDE:
+            j += 1
+        if j + 3 >= len(tags) and stop < len(text) and i > 0:
+            return at + int(start[i])  # it may go on, so the next piece starts with it
+        # Tokens that meet a base span are left out, also within a span of several.
+        a, b = start[i:j + 1] + at, end[i:j + 1] + at
+        edge = np.diff(np.concatenate(([0], taken.free(a, b).view(np.int8), [0])))
+        for m, n in zip(np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0] - 1):
+            x, y = int(a[m]), int(b[n])
+            while x < y and text[x] in TRIM:
+                x += 1
+            while x < y and text[y - 1] in TRIM:
+                y -= 1
+            if y - x >= LEAST:
+                added.append((x, 3, y))
+    return stop
+
+
 def secrets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf`` for each row of ``docs``.
 
@@ -272,11 +392,11 @@ def secrets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     def scan(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for text in part:
-                base = base_spans(text)
-                show = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+            texts = list(part)
+            bases = [base_spans(text) for text in texts]
+            show = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+            for base, added in zip(bases, field_spans(field, texts, bases)):
                 plain = [(s, k, e) for s, k, e, _ in base]
-                added = field_spans(field, text, base)
                 count = [sum(k == kind for _, k, _ in plain) for kind in range(3)]
                 rows.append((
                     *count, hashlib.sha256(show(plain).encode()).hexdigest(),
