@@ -54,10 +54,11 @@ class ByteBpe:
     """Ids of a byte-level BPE vocabulary file (``.json`` of ``tokenizers``).
 
     The vocabulary and pattern are read from the file; words, which its pattern never joins across a
-    single space, are encoded once and remembered.
+    single space, are encoded once and remembered. Strings of the file's added tokens are their ids
+    in a text, as the file has it, or plain text with ``added=False``.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = True) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -70,8 +71,11 @@ class ByteBpe:
             for token, i in tokenizer.get_vocab(with_added_tokens=False).items()
             if all(c in byte_of for c in token)
         }
-        added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-        ranks = {token: i for token, i in ranks.items() if token.decode("utf-8", "replace") not in added}
+        own = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        ranks = {token: i for token, i in ranks.items() if token.decode("utf-8", "replace") not in own}
+        self.added = own if added else {}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.borders = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         import public_tokenizers
 
         self.encode = tiktoken.Encoding(
@@ -80,6 +84,15 @@ class ByteBpe:
         self.words = WordIds(self.encode)
 
     def ids(self, text: str) -> np.ndarray:
+        if self.borders and self.borders.search(text):
+            parts = [
+                np.array([self.added[part]], np.uint32) if part in self.added else self.plain(part)
+                for part in self.borders.split(text)
+            ]
+            return np.concatenate(parts)
+        return self.plain(text)
+
+    def plain(self, text: str) -> np.ndarray:
         if INNER_SPACE.search(text):
             return np.array(self.encode(text), np.uint32)
         first, *rest = text.split(" ")
