@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..storage import new_path
 from .ann import nearest
 from .common import UPPER, table
 from .exact_dedup import dedup
@@ -18,6 +20,7 @@ from .packing import pack
 from .quality import quality
 from .secret_scan import secrets
 from .simhash import near_groups
+from .token_files import write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,3 +165,15 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op10_quality")
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered("op13_token_files")
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        new_path(spark, "token_files"),
+    )
+    return files.read(form="bytes").select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
