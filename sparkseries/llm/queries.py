@@ -20,6 +20,7 @@ from .packing import pack
 from .quality import quality
 from .secret_scan import secrets
 from .simhash import near_groups
+from .spelling import variants, words_of
 from .token_files import write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,3 +178,8 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@registered("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(words_of(table(spark, sf_dir, "documents")))
