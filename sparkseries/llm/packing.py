@@ -76,6 +76,7 @@ class ByteBpe:
         self.added = own if added else {}
         longest = sorted(self.added, key=len, reverse=True)
         self.borders = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        self.tokens = {i: token for token, i in ranks.items()}
         import public_tokenizers
 
         self.encode = tiktoken.Encoding(

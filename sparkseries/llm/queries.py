@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import new_path
+from .alignment import align
 from .ann import nearest
 from .common import UPPER, table
 from .exact_dedup import dedup
@@ -168,6 +169,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@registered("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"), digest=True,
+    ).withColumnRenamed("groups", "groups_sha256")
+
+
 @registered("op13_token_files")
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(
