@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +24,14 @@ from .common import text_of
 INNER_SPACE = re.compile(r"\s (?:\s|$)|^ (?:\s|$)")
 # Words whose ids a worker remembers; beyond it starts anew, so that its memory is bounded.
 CACHED_WORDS = 200_000
+# Ids are given out in rows of about so many bytes.
+OUT_BYTES = 4 << 20
 # A block also ends after so many documents.
 BLOCK_DOCS = 50_000
 
 SCHEMA = (
-    "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
-    "sequence_id bigint, offset bigint"
+    "doc_id {id}, start bigint, length bigint, ids {ids}, doc_tokens bigint, sequence_id bigint, "
+    "offset bigint"
 )
 
 
@@ -108,46 +109,47 @@ def assign(
 ) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces ``(index, start, length)`` that hold all of ``lengths``.
 
-    There are as many sequences as the tokens need. Descending lengths go to the open sequence of
-    the lowest cost; a piece that fits into none is cut to what the emptiest holds.
+    There are as many sequences as the tokens need. Descending lengths go to the sequence of the
+    lowest cost with room for them, the first of those alike. A piece that fits into none is cut to
+    what the emptiest holds, and its rest takes its turn by its own length.
     """
-    total = sum(lengths)
-    count = -(-total // capacity)
+    count = -(-sum(lengths) // capacity)
     sequences: list[list[tuple[int, int, int]]] = [[] for _ in range(count)]
-    room = [capacity] * count
-    open_at = [(0.0, i) for i in range(count)]  # a heap by cost
-    for index in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        start, left = 0, lengths[index]
-        while left:
-            skipped, chosen = [], None
-            while open_at:
-                cost, i = heapq.heappop(open_at)
-                if room[i] >= left:
-                    chosen = (cost, i)
-                    break
-                skipped.append((cost, i))
-                if len(skipped) > 32:  # costs rise with what is held, so the rest is as full
-                    break
-            if chosen is None:
-                best = max(range(len(skipped)), key=lambda k: (room[skipped[k][1]], -skipped[k][1]))
-                chosen = skipped.pop(best)
-            for entry in skipped:
-                heapq.heappush(open_at, entry)
-            cost, i = chosen
-            n = min(left, room[i])
-            sequences[i].append((index, start, n))
-            room[i] -= n
-            start, left = start + n, left - n
-            if room[i]:
-                heapq.heappush(open_at, (cost + linear * n + quadratic * n * n, i))
+    room, cost = [capacity] * count, [0.0] * count
+    pieces = [(-n, index, 0) for index, n in enumerate(lengths) if n]
+    heapq.heapify(pieces)
+    # Lengths go down, so a sequence that has room for one has room for all that follow it.
+    fitting: list[tuple[float, int]] = []
+    others = [(-capacity, i) for i in range(count)]
+    while pieces:
+        n, index, start = heapq.heappop(pieces)
+        n = -n
+        while others and -others[0][0] >= n:
+            i = heapq.heappop(others)[1]
+            heapq.heappush(fitting, (cost[i], i))
+        if fitting:
+            i = heapq.heappop(fitting)[1]
+        else:
+            i = heapq.heappop(others)[1]
+            heapq.heappush(pieces, (room[i] - n, index, start + room[i]))
+            n = room[i]
+        sequences[i].append((index, start, n))
+        room[i] -= n
+        cost[i] += linear * n + quadratic * n * n
+        if room[i]:
+            heapq.heappush(others, (-room[i], i))
     return sequences
 
 
 def pack(
     docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", capacity: int = 2048,
     end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 4096, block_tokens: int = 2_000_000,
+    form: str = "array",
 ) -> DataFrame:
-    """A row for each piece of each row of ``docs``.
+    """A row for each piece of each row of ``docs``, with its ids.
+
+    ``ids`` is an array, or with ``form="bytes"`` the same as little-endian 32-bit numbers. The ids of
+    a sequence, by ``offset``, are what a model is given.
 
     A document is its ids followed by ``end_id``; null texts and empty ones are that id alone. Only
     the last sequence of a block can be short: padding is under ``capacity`` for each
@@ -169,10 +171,7 @@ def pack(
 
             def add(doc: int, start: int, n: int, sequence: int, offset: int) -> None:
                 ids = held[doc]
-                rows.append((
-                    names[doc], start, n, zlib.crc32(ids[start:start + n].tobytes()), len(ids),
-                    sequence, offset,
-                ))
+                rows.append((names[doc], start, n, ids[start:start + n], len(ids), sequence, offset))
 
             rests, whole = [], []
             for doc, ids in enumerate(held):
@@ -190,11 +189,17 @@ def pack(
                     add(doc, full + start, n, first, offset)
                     offset += n
                 first += 1
-            for i in range(0, len(rows), 10_000):
-                columns = list(zip(*rows[i:i + 10_000]))
+            step = max(1, OUT_BYTES // (4 * capacity))
+            for i in range(0, len(rows), step):
+                columns = [list(c) for c in zip(*rows[i:i + step])]
+                if form == "array":
+                    ends = np.cumsum([0, *map(len, columns[3])]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(ends, np.concatenate(columns[3]).astype(np.int32))
+                else:
+                    ids = pa.array([c.astype("<u4").tobytes() for c in columns[3]], pa.binary())
+                plain = [pa.array(c, pa.int64()) for c in columns[1:3] + columns[4:]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], arrow_id)] + [pa.array(c, pa.int64()) for c in columns[1:]],
-                    names=out_names,
+                    [pa.array(columns[0], arrow_id), *plain[:2], ids, *plain[2:]], names=out_names
                 )
 
         arrow_id = None
@@ -211,7 +216,9 @@ def pack(
         if held:
             yield from block(names, held)
 
-    schema = SCHEMA.format(id=kind.simpleString())
+    schema = SCHEMA.format(
+        id=kind.simpleString(), ids="array<int>" if form == "array" else "binary"
+    )
     out_names = [c.split()[0] for c in schema.split(", ")]
     return docs.select(F.col(f"`{id}`").alias("doc_id"), text_of(text).alias("text")).mapInArrow(
         pieces, schema

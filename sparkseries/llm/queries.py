@@ -78,7 +78,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), form="bytes"
+    ).withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
 @registered("op8_mixing", r"""

@@ -18,7 +18,7 @@ from sparkseries.llm.components import components
 from sparkseries.llm.exact_dedup import DigestIndex, dedup, without_copies
 from sparkseries.llm.licenses import NOTICES, find_licenses
 from sparkseries.llm.mixing import mix, mixed
-from sparkseries.llm.packing import ByteBpe, pack
+from sparkseries.llm.packing import ByteBpe, assign, pack
 from sparkseries.llm.quality import good, quality
 from sparkseries.llm.queries import QUERIES
 from sparkseries.llm.viterbi import best_paths
@@ -150,7 +150,6 @@ def test_near_dedup_decides_by_row(frame):
 
 def pieces_hold(rows, texts):
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     wanted = Counter()
     for i, t in texts:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -188,11 +187,53 @@ def test_packing_round_trip(spark, duck, frame):
 
 def test_word_ids_are_those_of_the_tokenizer():
     own, known = ByteBpe(BPE), Tokenizer.from_file(BPE)
-    known.encode_special_tokens = True
-    for text in ["", " ", "  ", "a  b", "a   b", " a\n b ", "a \n\n  b\t c", "it's we'll", "é̂ 日本 🙂 ", "x y   z", "a\x1c b"]:
+    for text in ["", "a <|endoftext|>  b", " " * 200_000, "\n" * 3000 + "x", " ", "  ", "a  b", "a   b", " a\n b ", "a \n\n  b\t c", "it's we'll", "é̂ 日本 🙂 ", "x y   z", "a\x1c b"]:
         assert own.ids(text).tolist() == known.encode(text, add_special_tokens=False).ids, text
 
 
+def plain_assign(lengths, capacity, linear, quadratic):
+    """The same rule with a look at every sequence for every piece."""
+    room = [capacity] * -(-sum(lengths) // capacity)
+    held = [[] for _ in room]
+    cost = [0.0] * len(room)
+    pieces = sorted((-n, i, 0) for i, n in enumerate(lengths) if n)
+    while pieces:
+        n, index, start = pieces.pop(0)
+        able = [i for i in range(len(room)) if room[i] >= -n]
+        if able:
+            at, n = min(able, key=lambda i: (cost[i], i)), -n
+        else:
+            at = max(range(len(room)), key=lambda i: (room[i], -i))
+            pieces = sorted([*pieces, (n + room[at], index, start + room[at])])
+            n = room[at]
+        held[at].append((index, start, n))
+        room[at] -= n
+        cost[at] += linear * n + quadratic * n * n
+    return held
+
+
+def test_packing_finds_the_lowest_cost():
+    draw = np.random.default_rng(5)
+    for capacity in (10, 100, 2048):
+        for _ in range(20):
+            lengths = np.minimum(draw.lognormal(3, 1.2, draw.integers(0, 150)).astype(int), capacity - 1).tolist()
+            args = (lengths, capacity, 1.0, 1 / 4096)
+            assert assign(*args) == plain_assign(*args)
+
+
+def test_packed_ids_give_the_texts_back(frame):
+    rows = pack(frame(ODD), BPE).collect()
+    known = Tokenizer.from_file(BPE)
+    for doc, text, *_ in ODD:
+        if doc not in (2, None):
+            ids = [x for r in sorted((r for r in rows if r.doc_id == doc), key=lambda r: r.start) for x in r.ids]
+            assert ids == [*known.encode(text or "", add_special_tokens=False).ids, 1]
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id] += [(r.offset, x) for x in r.ids]
+    assert all(len(s) <= 2048 for s in sequences.values())
+
+
 def test_mixing_of_odd_rows(frame):
     rows = mix(frame(ODD)).collect()
     sizes = Counter()
