@@ -51,3 +51,4 @@ from .transforms import (
     split_by_id,
     write_split,
 )
+from .windows import age_windows, count_age_windows, moving_mean, update_age_windows
