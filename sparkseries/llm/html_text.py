@@ -4,8 +4,11 @@ Parser events become lines, one for each block. Subtrees that by element, role o
 article take no part. The ratio of text length to tags of each line is smoothed by a Gaussian and split
 into two clusters, lines of articles and mains with more weight. The content is the nearest container
 of all lines of the upper cluster, or the article around it, with all of its lines; where that is the
-page itself, what lies between the first and the last part that hold such a line. A subtree whose class or id sounds like an aside is
-smoothed by itself and left out if it holds no article and no line of the upper cluster.
+page itself, what lies between the first and the last part that hold such a line. A subtree whose class
+or id names comments, adverts, sidebars, notices and the like is left out, however long it is, unless it
+holds an article, a main or a first heading, or there is nothing else; names that also occur inside articles
+(related, social, notice and others) decide beside an article only, and inside one the subtree is smoothed by itself
+and left out if it holds no line of the upper cluster.
 """
 
 from __future__ import annotations
@@ -40,16 +43,24 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
 }
-WORDS = set(
-    "ad ads advert advertisement adverts banner sponsor sponsored promo promotion nav navbar navigation menu "
-    "breadcrumb breadcrumbs sidebar aside widget footer header masthead cookie cookies consent gdpr notice "
-    "notices popup modal overlay newsletter subscribe subscription signup login share sharing social related "
-    "recommended comment comments disqus reply replies pagination pager toolbar skip hidden".split()
+# Names of what is never the article, wherever it lies and however long it is.
+NEVER = set(
+    "ad ads advert advertisement adverts sponsor sponsored promo promotion cookie cookies consent gdpr popup "
+    "modal overlay newsletter subscribe subscription signup login share sharing comment comments disqus reply "
+    "replies sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager".split()
 )
+# Names of what is not the article beside it; inside one its lines decide.
+BESIDE = set(
+    "banner aside widget footer header masthead notice notices social related recommended toolbar skip hidden".split()
+)
+# Names of layout parts: one that holds another of its name lays a page out and is no such part.
+LAYOUT = set("sidebar nav navbar menu banner header footer widget".split())
+# Names of an article that is a reader's.
+READERS = set("comment comments disqus reply replies".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
             "toolbar".split())
 # A name with one of these tells of the layout around a part, not of the part.
-MODIFIERS = set("has no not with without is fixed sticky overflow".split())
+MODIFIERS = set("has no not with without is fixed sticky overflow layout enabled".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -68,18 +79,20 @@ def _aside(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
     return False
 
 
-def _named(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
-    """Whether class or id sound like an aside; the lines decide whether it is one."""
-    if tag in ("html", "body", "article", "main") or tag in HEADINGS:
-        return False
+def _names(tag: str, attrs: dict[str, str | None], in_article: bool) -> set[str]:
+    """The words of class and id that tell of something beside the article."""
+    if tag in ("html", "body", "main") or tag in HEADINGS:
+        return set()
     words = set()
     for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
         parts = set(SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
         if not parts & MODIFIERS:
             words |= parts
+    if tag == "article":
+        return words & READERS
     if in_article and tag == "header":
         words -= {"header", "masthead", "banner"}
-    return bool(words & WORDS)
+    return words & (NEVER | BESIDE)
 
 
 class Lines(HTMLParser):
@@ -89,6 +102,9 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         # Element, whether it takes no part, region, innermost named subtree (0: none).
         self.open: list[tuple[str, bool, int, int]] = []
+        # How often each block is open, and each inline element in the innermost block and those around it.
+        self.blocks: dict[str, int] = {}
+        self.inline: list[dict[str, int]] = [{}]
         self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
         self.tags = 0
@@ -96,7 +112,9 @@ class Lines(HTMLParser):
         self.parent = [0]  # the region around each; 0 is the page
         self.heads: set[int] = set()  # lines of headings
         self.around = [0]  # the named subtree around each
-        self.holds = [True]  # whether it holds an article or main
+        self.holds = [True]  # whether it holds an article, main or first heading
+        self.names: list[set[str]] = [set()]
+        self.never = [False]  # whether its names alone tell that it is not the article
 
     def _state(self) -> tuple[bool, int, int]:
         return self.open[-1][1:] if self.open else (False, 0, 0)
@@ -112,7 +130,16 @@ class Lines(HTMLParser):
 
     def _close(self, at: int) -> None:
         self.flush()
-        del self.open[at:]
+        self._drop(at)
+
+    def _drop(self, at: int) -> None:
+        while len(self.open) > at:
+            tag = self.open.pop()[0]
+            if tag in BLOCKS:
+                self.blocks[tag] -= 1
+                self.inline.pop()
+            else:
+                self.inline[-1][tag] -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS or tag in HIDDEN:
@@ -134,21 +161,33 @@ class Lines(HTMLParser):
         aside, region, named = self._state()
         in_article = region in self.article
         aside = aside or _aside(tag, dict(attrs), in_article)
-        if not aside and _named(tag, dict(attrs), in_article):
+        names = set() if aside else _names(tag, dict(attrs), in_article)
+        if names:
+            at = named
+            while at:  # a part of that name inside: what is around lays the page out
+                self.holds[at] |= bool(names & self.names[at] & LAYOUT)
+                at = self.around[at]
             self.around.append(named)
             self.holds.append(False)
+            self.names.append(names)
+            self.never.append(not in_article or bool(names & (NEVER | READERS)))
             named = len(self.holds) - 1
         if not aside and tag in REGIONS:
             self.parent.append(region)
             region = len(self.parent) - 1
             if in_article or tag in ("article", "main"):
                 self.article.add(region)
-            if tag in ("article", "main"):
-                at = named
-                while not self.holds[at]:
-                    self.holds[at] = True
-                    at = self.around[at]
+        if not aside and (tag in ("main", "h1") or tag == "article" and not names):
+            at = named
+            while not self.holds[at]:
+                self.holds[at] = True
+                at = self.around[at]
         self.open.append((tag, aside, region, named))
+        if tag in BLOCKS:
+            self.blocks[tag] = self.blocks.get(tag, 0) + 1
+            self.inline.append({})
+        else:
+            self.inline[-1][tag] = self.inline[-1].get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -159,13 +198,16 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS or tag in HIDDEN:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                self._close(k) if tag in BLOCKS or tag in HIDDEN else self.open.pop(k)
-                return
-            if tag not in BLOCKS and name in BLOCKS:
-                return  # an inline end does not leave its block
+        # An inline end does not leave its block; one that is not open ends nothing.
+        if not (self.blocks if tag in BLOCKS else self.inline[-1]).get(tag):
+            return
+        at = len(self.open) - 1
+        while self.open[at][0] != tag:
+            at -= 1
+        if tag in HIDDEN or tag in BLOCKS:
+            self._close(at)
+        else:
+            self._drop(at)
 
     def handle_data(self, data: str) -> None:
         if not self._state()[0]:
@@ -174,6 +216,13 @@ class Lines(HTMLParser):
     def done(self) -> None:
         self.close()
         self.flush()
+        gone = [False] * len(self.holds)
+        for n in range(1, len(gone)):
+            gone[n] = gone[self.around[n]] or self.never[n] and not self.holds[n]
+        stay = [i for i, line in enumerate(self.lines) if not gone[line[3]]]
+        if stay:
+            self.heads = {k for k, i in enumerate(stay) if i in self.heads}
+            self.lines = [self.lines[i] for i in stay]
         # Subtrees that hold an article are like what is around them.
         own = list(range(len(self.holds)))
         for n in own[1:]:

@@ -359,6 +359,60 @@ def test_names_alone_drop_no_text():
     assert html_text.main_text(f"<body><article>{body}{small}</article>") == "\n".join(want)
 
 
+ASIDES = [
+    '<section class="comments"><p>%s</p><p>%s</p></section>', '<div id="disqus_thread"><p>%s</p><p>%s</p></div>',
+    '<div class="ad"><p>%s %s</p></div>', '<div class="ad-slot">%s %s</div>', '<div class="cookie-notice"><p>%s</p>%s</div>',
+    '<div class="sidebar"><p>%s</p><p>%s</p></div>', '<div class="newsletter-signup"><p>%s</p>%s</div>',
+    '<ol class="comment-list"><li><article class="comment"><p>%s</p><p>%s</p></article></li></ol>',
+    '<div class="share-links"><p>%s</p><p>%s</p></div>', '<div class="modal"><p>%s</p><p>%s</p></div>',
+]
+BESIDES = [
+    '<div class="notice"><p>%s</p>%s</div>', '<div class="related-posts"><p>%s</p><p>%s</p></div>',
+    '<div class="page-footer"><p>%s</p>%s</div>', '<div class="widget"><p>%s</p><p>%s</p></div>',
+]
+
+
+@pytest.mark.parametrize("words", ["Short one.", "Other talk of readers and sellers, on and on it goes. " * 12])
+def test_asides_of_any_length_go(words):
+    """Comments, adverts, sidebars and notices, before, after and inside the article."""
+    want = [STORY.strip(), "Second. " + STORY.strip(), "Third."]
+    parts = [f"<p>{t}</p>" for t in want]
+    for aside in ASIDES + BESIDES:
+        aside = aside % (words, words)
+        for start, end in (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>")):
+            pages = [f"<body>{aside}{start}{''.join(parts)}{end}", f"<body>{start}{''.join(parts)}{end}{aside}"]
+            if aside.split("%")[0] in [a % (words, words) for a in ASIDES]:
+                pages.append(f"<body>{start}{parts[0]}{aside}{parts[1]}{parts[2]}{end}")
+            for page in pages:
+                assert html_text.main_text(page) == "\n".join(want), page[:300]
+
+
+def test_what_is_around_the_article_stays():
+    want = [STORY.strip(), "Second. " + STORY.strip()]
+    body = "".join(f"<p>{t}</p>" for t in want)
+    side = f'<div class="sidebar"><p>{STORY}</p></div>'
+    for page in (
+        f'<div class="sidebar-right"><div class="text">{body}</div>{side}</div>',
+        f'<div class="comments-page"><article>{body}</article><div class="comments"><p>{STORY}</p></div></div>',
+        f'<div class="comments">{body}</div>',
+    ):
+        assert html_text.main_text(f"<body>{page}") == "\n".join(want), page[:80]
+
+
+def test_unmatched_and_deep_tags_take_linear_time():
+    import time
+
+    start = time.time()
+    many = 40_000
+    for page in (
+        "<i>" * many + "</b>" * many, "<b><div>" + "<i>" * many + "</b>" * many, "<b>" * many + "<i>" * many + "</b>" * many,
+        "<div>" * many + "x" + "</p>" * many, "<p><i>" * many, "<div class=nav>" * 3000 + "x",
+    ):
+        html_text.main_text(page + STORY)
+    assert time.time() - start < 30
+    assert html_text.main_text("<p>a <b>b <i>c</b> d</i> e</p>" + f"<p>{STORY}</p>").startswith("a b c d e")
+
+
 def test_clusters_choose_beside_articles():
     links = "<div><a>a</a> <a>b</a> <a>c</a></div>"
     story, card = f"<div id=story><p>{STORY}</p><p>{STORY}</p></div>", f"<article><p>Card. {STORY}</p></article>"
