@@ -16,22 +16,39 @@ from ..storage import new_path
 from .common import keep_decided, lower_ascii, stored, text_of
 
 
+# Repeats of one row are given out in runs of so many.
+COPIES_PER_RUN = 10_000
+META = "buckets int, id_type string"
+
+
 class DigestIndex:
-    """A digest index at ``path``; an existing one is opened, with the buckets it was made with.
+    """A digest index at ``path``; an existing one is opened with the buckets it was made with.
 
-    ``id_type`` is the Spark type of the document ids.
+    ``buckets`` and ``id_type``, the Spark type of the document ids, hold for a new index and are
+    stored beside it. An existing one with another type of ids is refused.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, buckets: int = 64, id_type: str = "bigint"
     ) -> None:
-        self.spark, self.buckets = spark, buckets
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+        system = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if not system.exists(place):
+            spark.createDataFrame([(buckets, id_type)], META).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        made = spark.read.schema(META).parquet(f"{path}/meta").first()
+        if made.id_type != id_type:
+            raise ValueError(f"the index at {path} holds ids of type {made.id_type}, not {id_type}")
+        self.spark, self.buckets = spark, made.buckets
         self.name = f"digests_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id {id_type}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id {id_type}) USING parquet CLUSTERED BY (digest) "
+            f"SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}/digests'"
         )
 
+    def close(self) -> None:
+        """Take the index out of the session's catalogue; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -39,8 +56,10 @@ class DigestIndex:
         """Add ``docs`` and return a row for each: what stays, and what it is a copy of.
 
         Texts are equal when identical after lower-casing A-Z; null counts as empty. A text that the
-        index knows keeps its earlier document; of equal new texts the largest id stays. Of rows
-        that repeat both id and text one is kept. A null id stays only if its text has no other.
+        index knows keeps its earlier document; of equal new texts the largest id stays. The row
+        that the index keeps is kept again when it is given again, so a batch that is repeated, after
+        a failure at any point, has the same result. Of rows that repeat both id and text one is
+        kept. A null id stays only if its text has no other.
         ``group_size`` counts the equal texts among ``docs``. Other columns are not looked at; an
         empty table gives an empty result.
         """
@@ -68,16 +87,29 @@ class DigestIndex:
         )
         self.spark.catalog.refreshTable(self.name)
         # Both sides are shuffled here, so that adaptive execution can split a large group.
-        return (
-            rows.join(groups, "digest")
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-            .select(
-                F.col("id").alias("doc_id"), "keep_id", "group_size",
-                (F.col("new") & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1))
-                .alias("kept"),
-                F.lower(F.hex("digest")).alias("text_sha256"),
-            )
+        told = rows.join(groups, "digest").select(
+            F.col("id").alias("doc_id"), "keep_id", "group_size",
+            F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
+            F.lower(F.hex("digest")).alias("text_sha256"), "n",
+        )
+        return _unfolded(told, rows)
+
+
+def _unfolded(told: DataFrame, rows: DataFrame) -> DataFrame:
+    """A row for each of the ``n`` that repeat; the first of them is the one kept."""
+    first = F.col("copy") == 0
+    few = told.where(F.col("n") <= COPIES_PER_RUN).withColumn(
+        "copy", F.explode(F.expr("sequence(0L, n - 1)"))
+    )
+    if not rows.where(F.col("n") > COPIES_PER_RUN).isEmpty():
+        runs = told.where(F.col("n") > COPIES_PER_RUN).withColumn(
+            "run", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES_PER_RUN}L)"))
+        )
+        many = runs.repartition(runs.sparkSession.sparkContext.defaultParallelism).withColumn(
+            "copy", F.explode(F.expr(f"sequence(run, least(run + {COPIES_PER_RUN}L, n) - 1)"))
         )
+        few = few.union(many.drop("run"))
+    return few.withColumn("kept", F.col("kept") & first).drop("n", "copy")
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

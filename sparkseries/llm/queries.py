@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..storage import new_path
 from .alignment import align
 from .ann import nearest
-from .common import UPPER, table
-from .exact_dedup import dedup
+from .common import UPPER, stored, table
+from .exact_dedup import DigestIndex, dedup
 from .html_text import extract
 from .language import languages
 from .licenses import NOTICES, SHINGLE, find_licenses
@@ -51,6 +51,28 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
 
+@registered("op1_index_batches", f"""
+    with rows as (
+        select doc_id, doc_id % 2 = 0 as second, sha256({LOWER}) as text_sha256 from documents
+    ), firsts as (
+        select text_sha256, max(doc_id) as id from rows where not second group by 1
+    ), seconds as (
+        select text_sha256, max(doc_id) as id from rows where second group by 1
+    )
+    select r.doc_id, coalesce(f.id, s.id) as keep_id, r.doc_id = coalesce(f.id, s.id) as kept, r.text_sha256
+    from rows r left join firsts f using (text_sha256) left join seconds s using (text_sha256)
+""")
+def op1_index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with odd ids, then those with even ones against the index that holds the first."""
+    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "index")
+    told = []
+    for rest in (1, 0):
+        index = DigestIndex(spark, path)
+        told.append(stored(index.add(docs.where(F.col("doc_id") % 2 == rest)), "told"))
+        index.close()
+    return told[0].union(told[1]).select("doc_id", "keep_id", "kept", "text_sha256")
+
+
 @registered("op2_nearest")
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))

@@ -12,7 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkseries.llm import ann, html_text, language, secret_scan, simhash
+from sparkseries.llm import ann, exact_dedup, html_text, language, secret_scan, simhash
 from sparkseries.llm.ann import nearest
 from sparkseries.llm.components import components
 from sparkseries.llm.exact_dedup import DigestIndex, dedup, without_copies
@@ -60,6 +60,30 @@ def test_index_grows_and_is_opened_again(spark, frame, tmp_path):
     assert again.table().count() == 3
 
 
+def test_index_keeps_its_buckets_and_repeated_batches(spark, frame, tmp_path):
+    path = str(tmp_path / "index")
+    batch = frame([(i, f"text {i % 70}", "", "") for i in range(100)])
+    first = {r.doc_id: r.kept for r in DigestIndex(spark, path, 8).add(batch).collect()}
+    assert sum(first.values()) == 70
+    for buckets in (4, 16, 64):
+        again = DigestIndex(spark, path, buckets)
+        assert again.buckets == 8
+        assert {r.doc_id: r.kept for r in again.add(batch).collect()} == first
+        assert again.table().count() == 70
+        again.close()
+    with pytest.raises(ValueError, match="type"):
+        DigestIndex(spark, path, id_type="string")
+
+
+def test_many_repeats_of_one_row(frame, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COPIES_PER_RUN", 7)
+    rows = [(None, "same", "", "")] * 50 + [(3, "Same", "", ""), (4, "other", "", "")]
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in dedup(frame(rows)).collect())
+    assert got == {(None, 3, 51, False): 50, (3, 3, 51, True): 1, (4, 4, 1, True): 1}
+    alone = Counter((r.doc_id, r.kept) for r in dedup(frame(rows[:50])).collect())
+    assert alone == {(None, True): 1, (None, False): 49}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (7, 7), *[(100 + i, 101 + i) for i in range(40)]]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
