@@ -40,6 +40,7 @@ from .sources import (
     scan_orc,
     scan_parquet,
 )
+from .sources.stored import open_table
 
 PAYLOADS = {
     "line": line_protocol,
@@ -227,7 +228,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         report = load(df, args.sink, args.out, args.layout, args.mode, args.std_dev)
         print(json.dumps(report))
         return
-    df = spark.read.format(args.format).load(args.table)
+    df = open_table(spark, args.table, args.format)
     result = query(
         df, args.kind, args.param, args.device, args.field, args.start, args.end, args.until,
         args.fill,

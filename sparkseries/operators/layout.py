@@ -15,7 +15,6 @@ from ..functions.sql import (
     present_cells_sql,
     texts_sql,
 )
-from ..storage import join_null_safe
 from .ranking import number_rows
 
 # Sensors per table and points per payload batch.
@@ -158,6 +157,35 @@ def vertical_split(
 
 
 def rejoin(parts: dict[str, DataFrame], keys: list[str] | None = None) -> DataFrame:
-    """Undo :func:`vertical_split`; the keys must be unique, and null is a key like others."""
+    """Undo :func:`vertical_split`; null is a key like others, and a key that repeats is an error.
+
+    Each part is shuffled once. Tables with repeated keys are for
+    :func:`~sparkseries.sinks.write_joined_parts`, which numbers their rows.
+    """
     keys = keys or [TIME, TAG]
-    return reduce(lambda left, right: join_null_safe(left, right, keys), parts.values())
+    fields = [c for part in parts.values() for c in part.columns if c not in keys]
+    joined = reduce(
+        lambda left, right: left.join(right, "__key"),
+        [_keyed(part, keys, f"__{i}") for i, part in enumerate(parts.values())],
+    )
+    return joined.select(
+        *[F.col("__key")[f"k{i}"].alias(k) for i, k in enumerate(keys)],
+        *[
+            F.col(f"__{i}")[f"v{j}"].alias(c)
+            for i, part in enumerate(parts.values())
+            for j, c in enumerate(c for c in part.columns if c not in keys)
+        ],
+    ).toDF(*keys, *fields)
+
+
+def _keyed(part: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One row for each key of a part, with its fields as one column; an error where a key repeats."""
+    fields = [c for c in part.columns if c not in keys]
+    values = [F.col(f"`{c}`").alias(f"v{j}") for j, c in enumerate(fields)] or [F.lit(0).alias("none")]
+    message = F.concat(F.lit("a key repeats: "), F.to_json("__key"))
+    return (
+        part.groupBy(F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]).alias("__key"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*values)).alias(name))
+        .where(F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(True))
+        .drop("__n")
+    )

@@ -55,16 +55,27 @@ WIDER = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "float": "d
 
 
 def union_tables(*tables: DataFrame, time: str = TIME, tag: str = TAG) -> DataFrame:
-    """Tables of different fields as one: absent fields are null, types are merged."""
-    ranks: dict[str, int] = {}
+    """Tables of different fields as one: absent fields are null, types are merged.
+
+    Whole numbers, doubles and texts merge to the wider one. A field of another type, such as
+    boolean or decimal, keeps it if all tables that have the field agree, and is an error if not.
+    """
+    kinds: dict[str, set[str]] = {}
     for table in tables:
         for name, kind in table.dtypes:
             if name not in (time, tag):
-                rank = RANK_OF.get(WIDER.get(kind, kind), TEXT)
-                ranks[name] = max(ranks.get(name, 0), rank)
+                kinds.setdefault(name, set()).add(WIDER.get(kind, kind))
+    merged = {}
+    for name, found in kinds.items():
+        if found <= set(RANK_OF):
+            merged[name] = NAME_OF[max(RANK_OF[kind] for kind in found)]
+        elif len(found) == 1:
+            merged[name] = found.pop()
+        else:
+            raise ValueError(f"no common type for {name}: {', '.join(sorted(found))}")
     cast = [
         t.select(*[
-            F.col(c) if c in (time, tag) else F.col(f"`{c}`").cast(NAME_OF[ranks[c]]).alias(c)
+            F.col(c) if c in (time, tag) else F.col(f"`{c}`").cast(merged[c]).alias(c)
             for c in t.columns
         ])
         for t in tables

@@ -9,7 +9,7 @@ from .. import TAG, TIME
 from ..operators.queries import between
 
 
-def _open(spark: SparkSession, path: str, file_format: str) -> DataFrame:
+def open_table(spark: SparkSession, path: str, file_format: str) -> DataFrame:
     """The table at ``path``; values of folder names stay texts, so that a device 007 keeps its name."""
     key = "spark.sql.sources.partitionColumnTypeInference.enabled"
     before = spark.conf.get(key)
@@ -48,7 +48,7 @@ def scan_parquet(
     ``chunk`` is the chunk width the table was written with, if it has time chunks;
     with it, chunks before the range are skipped as well.
     """
-    table = _open(spark, path, "parquet")
+    table = open_table(spark, path, "parquet")
     return _scan(table, fields, start, end, device, suffix, time, tag, chunk)
 
 
@@ -58,5 +58,5 @@ def scan_orc(
     tag: str = TAG, chunk: int | None = None,
 ) -> DataFrame:
     """As :func:`scan_parquet`, from ORC files."""
-    table = _open(spark, path, "orc")
+    table = open_table(spark, path, "orc")
     return _scan(table, fields, start, end, device, suffix, time, tag, chunk)

@@ -82,3 +82,12 @@ def test_sources_by_kind(spark, write, tmp_path, source, name, text, records):
 def test_wide_scan(spark, tmp_path):
     report = jobs.wide_scan(spark, str(tmp_path), 1000)
     assert report["parquet"]["lines"] == report["orc"]["lines"] == 1
+
+
+def test_a_device_of_digits_is_not_its_padded_form(spark, tmp_path, capsys):
+    out = str(tmp_path / "padded")
+    rows = [(1, "010", 1.0), (2, "010", 2.0), (1, "10", 3.0)]
+    jobs.load(spark.createDataFrame(rows, "time long, deviceId string, v double"), "parquet", out, "device")
+    for device, lines in (("10", 1), ("010", 2)):
+        jobs.main(["query", "--table", out, "--kind", "raw", "--param", "9", "--device", device, "--field", "v"], spark)
+        assert json.loads(capsys.readouterr().out.splitlines()[0])["lines"] == lines

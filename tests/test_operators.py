@@ -155,6 +155,27 @@ def test_schemas(wide, spark):
     assert shaped.schema["PRCP"].metadata == {"precision": 2}
 
 
+def test_union_keeps_types_that_all_share(spark):
+    one = spark.sql("select 1L as time, 'd' as deviceId, true as flag, 1.50BD as price, 1 as n")
+    two = spark.sql("select 2L as time, 'd' as deviceId, false as flag, 2.5D as n")
+    both = union_tables(one, two)
+    assert dict(both.dtypes) == {
+        "time": "bigint", "deviceId": "string", "flag": "boolean", "price": "decimal(3,2)", "n": "double"}
+    with pytest.raises(ValueError, match="flag"):
+        union_tables(one, two.withColumn("flag", F.lit("yes")))
+
+
+def test_rejoin_refuses_repeated_keys(spark):
+    rows = [(1, "a", 1, 2), (None, "a", 3, None), (None, None, 5, 6)]
+    df = spark.createDataFrame(rows, "time long, deviceId string, `a b` int, c int")
+    parts = vertical_split(df, max_fields=1)
+    back = rejoin(parts)
+    assert back.columns == df.columns and sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    twice = vertical_split(df.union(df.limit(1)), max_fields=1)
+    with pytest.raises(Exception, match="a key repeats"):
+        rejoin(twice).collect()
+
+
 def test_transforms(wide, spark):
     assert jitter_time(wide) is wide
     series = spark.range(2000).select(F.col("id").alias("time"))
