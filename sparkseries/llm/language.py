@@ -1,9 +1,10 @@
 """Language of texts, also mixed ones: script ranges, word scores and Viterbi.
 
-Words are runs of letters of one script. A word's score for a language is the sum of the log
-probabilities of its letter trigrams, word borders included, among the languages that were seen in
-its script. Viterbi with a penalty for each switch labels the words; a text has the language with the
-most letters.
+Words are runs of letters and combining marks of one script that hold a letter. A word's score for a
+language is the sum of the log probabilities of its letter trigrams, word borders included, among the
+languages that were seen in its script. Viterbi with a penalty for each switch labels the words; words
+in a row with one label are a span, and a text has the language with the most letters. Words in a script
+that no language was seen in are spans of ``und``, and their letters count for all languages alike.
 """
 
 from __future__ import annotations
@@ -41,38 +42,41 @@ SWITCH = 8.0
 BROADCAST_IDS = 100_000
 
 
-def letter_tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point its script (0: no letter) and its lower-case form."""
-    script = np.zeros(0x110000, np.uint8)
+def letter_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point its script (0: no part of a word), lower-case form and whether it is a letter."""
+    script, letter = np.zeros(0x110000, np.uint8), np.zeros(0x110000, bool)
     lower = np.arange(0x110000, dtype=np.uint32)
     for c in range(0x40000):
         char = chr(c)
         if char.isalpha() or c > 127 and unicodedata.category(char)[0] == "M":
-            script[c] = len(NAMES)
+            script[c], letter[c] = len(NAMES), char.isalpha()
             small = char.lower()
             if len(small) == 1:
                 lower[c] = ord(small)
     for name, first, last in SCRIPTS:
         part = script[first:last + 1]
         part[part > 0] = NAMES.index(name) + 1
-    return script, lower
+    return script, lower, letter
 
 
 class Words:
     """Words of texts: their scripts, letters and trigrams."""
 
     def __init__(self) -> None:
-        self.script, self.lower = letter_tables()
+        self.script, self.lower, self.letter = letter_tables()
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """``(text, script, letters)`` of each word and ``(trigram, word start)`` of the letters."""
+        """``(text, script, letters, begin, end)`` of each word and ``(trigram, word start)`` of its signs.
+
+        A word of marks alone has no letters. Begin and end count from the start of the text.
+        """
         data = "\0".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass")
         points = np.minimum(np.frombuffer(data, np.uint32), 0x10FFFF)
         script = self.script[points]
         at = np.nonzero(script)[0]
         empty = np.zeros(0, np.int64)
         if not len(at):
-            return empty, empty, empty, empty, empty
+            return (empty,) * 7
         low = np.where(script > 0, self.lower[points], 0).astype(np.uint32)
         trigram = (
             low[at - 1] * np.uint32(0x9E3779B1) ^ low[at] * np.uint32(0x85EBCA6B)
@@ -83,10 +87,12 @@ class Words:
         new = np.ones(len(at), bool)
         new[1:] = (np.diff(at) > 1) | (own[1:] != own[:-1])
         start = np.nonzero(new)[0]
-        borders = np.cumsum([len(t) + 1 for t in texts])
+        borders = np.cumsum([0] + [len(t) + 1 for t in texts])
+        text = np.searchsorted(borders[1:], at[start] - 1, side="right")
+        begin = at[start] - 1 - borders[text]
         return (
-            np.searchsorted(borders, at[start] - 1, side="right"), own[start].astype(np.int64),
-            np.diff(np.append(start, len(at))), trigram, start,
+            text, own[start].astype(np.int64), np.add.reduceat(self.letter[points[at]].astype(np.int64), start),
+            begin, begin + np.diff(np.append(start, len(at))), trigram, start,
         )
 
 
@@ -101,18 +107,20 @@ class Model:
         for k, lang in enumerate(self.langs):
             for text, of in zip(texts, langs):
                 if of == lang:
-                    _, script, letters, trigram, _ = words.of([text])
+                    _, script, letters, _, _, trigram, _ = words.of([text])
                     np.add.at(counts[:, k], trigram, 1)
                     np.add.at(scripts[:, k], script, letters)
         seen = (counts.sum(1) > 0).sum() + 1
         self.table = np.log((counts + 0.3) / (counts.sum(0) + 0.3 * seen)).astype(np.float32)
         self.allowed = scripts > 0.01 * np.maximum(scripts.sum(0), 1)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
+        """Language, share of the letters and spans ``(start, end, language)`` of each text."""
         names, share = ["und"] * len(texts), np.zeros(len(texts))
+        spans: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         if not self.langs:
-            return names, share
-        pieces, owner = [], []
+            return names, share, spans
+        pieces, owner, begins = [], [], []
         for k, text in enumerate(texts):
             at = 0
             while at < len(text):
@@ -121,38 +129,48 @@ class Model:
                     end = max(text.rfind(" ", at + 1, end), at) + 1 if " " in text[at + 1:end] else end
                 pieces.append(text[at:end])
                 owner.append(k)
+                begins.append(at)
                 at = end
-        owners, scores, letters = [], [], []
+        found = []
         i = 0
         while i < len(pieces):
             j, size = i, 0
             while j < len(pieces) and (j == i or size + len(pieces[j]) <= PIECE):
                 size += len(pieces[j])
                 j += 1
-            text, script, length, trigram, start = self.words.of(pieces[i:j])
-            if len(start):
+            text, script, letters, begin, end, trigram, start = self.words.of(pieces[i:j])
+            if letters.any():
                 word = np.add.reduceat(self.table[trigram], start, axis=0)
                 allowed = self.allowed[script]
+                known = allowed.any(1)
                 word = np.where(allowed, word, -1e9)
                 word = np.maximum(word - word.max(1, keepdims=True), FLOOR)
-                word[~allowed.any(1)] = 0
-                owners.append(np.asarray(owner[i:j])[text])
-                scores.append(word.astype(np.float32))
-                letters.append(length)
+                word[~known] = 0
+                first = np.asarray(begins[i:j])[text]
+                rows = (np.asarray(owner[i:j])[text], word.astype(np.float32), letters, known, first + begin, first + end)
+                found.append([r[letters > 0] for r in rows])
             i = j
-        if owners:
-            doc, length = np.concatenate(owners), np.concatenate(letters)
+        if found:
+            doc, scores, letters, known, begin, end = (np.concatenate(r) for r in zip(*found))
             n = len(self.langs)
             change = np.full((n, n), -SWITCH, np.float32)
             np.fill_diagonal(change, 0)
             edges = np.nonzero(np.diff(doc, prepend=-1))[0]
-            label = best_paths(np.concatenate(scores), np.diff(np.append(edges, len(doc))), change)
+            label = best_paths(scores, np.diff(np.append(edges, len(doc))), change).astype(np.int64)
             total = np.zeros((len(texts), n))
-            np.add.at(total, (doc, label), length)
+            np.add.at(total, (doc[known], label[known]), letters[known])
+            np.add.at(total, doc[~known], letters[~known, None] / n)
             for k in np.unique(doc):
                 best = int(total[k].argmax())
                 names[k], share[k] = self.langs[best], total[k, best] / total[k].sum()
-        return names, share
+            label[~known] = n
+            new = (np.diff(doc, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0)
+            head = np.nonzero(new)[0]
+            last = np.append(head[1:], len(doc)) - 1
+            called = [*self.langs, "und"]
+            for k, first, until, name in zip(doc[head], begin[head], end[last], label[head]):
+                spans[k].append((int(first), int(until), called[name]))
+        return names, share, spans
 
 
 def train(
@@ -182,19 +200,22 @@ def train(
 
 
 def languages(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for each row of ``docs``.
-
-    The score is the share of the letters that the predicted language's words hold. Null texts and
-    those without letters are ``und`` with score 0, as is everything if nothing can be learned.
-    Repeated rows and null ids stay; of equal shares the first language by name wins. An empty table
-    gives an empty result; other columns are not looked at.
+    """``doc_id, held_out, lang_pred, score, spans`` for each row of ``docs``.
+
+    ``spans`` are structs ``start, end, lang`` in order: code points from 0, end exclusive, from the
+    first word of a language to its last before another's; ``und`` where no language was seen in the
+    script. The score is the share of the letters that the predicted language's words hold, letters of
+    unseen scripts dealt to all languages alike: a text without evidence scores one by their number.
+    Null texts and those without letters (marks are none) are ``und`` with score 0 and no spans, as is
+    everything if nothing can be learned. Repeated rows and null ids stay; of equal shares the first
+    language by name wins. An empty table gives an empty result; other columns are not looked at.
     """
     model = train(docs, id, text, lang)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, starts array<int>, ends array<int>, langs array<string>")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            texts, names, scores = list(part), [], []
+            texts, names, scores, spans = list(part), [], [], []
             i = 0
             while i < len(texts):
                 j, size = i, 0
@@ -204,10 +225,18 @@ def languages(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
                 got = model.predict(texts[i:j])
                 names += got[0]
                 scores += got[1].tolist()
+                spans += got[2]
                 i = j
-            yield pd.DataFrame({"lang": names, "score": scores})
+            yield pd.DataFrame({
+                "lang": names, "score": scores,
+                **{name: [[s[k] for s in of] for of in spans] for k, name in enumerate(("starts", "ends", "langs"))},
+            })
 
+    spans = F.expr("transform(got.starts, (s, i) -> named_struct('start', s, 'end', got.ends[i], 'lang', got.langs[i]))")
     return docs.select(
         F.col(f"`{id}`").alias("doc_id"), held_out(id).alias("held_out"),
         predict(text_of(text)).alias("got"),
-    ).select("doc_id", "held_out", F.col("got.lang").alias("lang_pred"), F.col("got.score").alias("score"))
+    ).select(
+        "doc_id", "held_out", F.col("got.lang").alias("lang_pred"), F.col("got.score").alias("score"),
+        spans.alias("spans"),
+    )

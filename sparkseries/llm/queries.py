@@ -85,7 +85,8 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("op4_language")
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages(table(spark, sf_dir, "documents"))
+    span = "transform(spans, s -> concat_ws(':', s.start, s.end, s.lang))"
+    return languages(table(spark, sf_dir, "documents")).withColumn("spans", F.array_join(F.expr(span), ","))
 
 
 @registered("op6_secrets")
