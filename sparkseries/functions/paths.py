@@ -11,6 +11,11 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), "\\.[^.]*$", "")
 
 
+def plain_path(path: Column) -> Column:
+    """A path without scheme and host."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
 def relative_path(path: Column, root: str) -> Column:
     """What follows the data folder in a path, without a leading slash.
 
@@ -18,7 +23,7 @@ def relative_path(path: Column, root: str) -> Column:
     (patterns), its last occurrence counts.
     """
     folder = root.rstrip("/") + "/"
-    plain = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    plain = plain_path(path)
     rest = F.when(
         F.startswith(plain, F.lit(folder)), F.substr(plain, F.lit(len(folder) + 1))
     ).otherwise(F.substring_index(plain, folder, -1))

@@ -47,6 +47,7 @@ from .schema import (
 from .transforms import (
     extend_series,
     jitter_time,
+    lines_with_ids,
     shuffle_batches,
     split_by_id,
     write_split,

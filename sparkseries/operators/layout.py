@@ -20,6 +20,8 @@ from .ranking import number_rows
 # Sensors per table and points per payload batch.
 MAX_FIELDS = 700
 BATCH_POINTS = 1000
+# Names that are spread without a pivot.
+MAXIMA = 50
 
 
 def sensor_columns(df: DataFrame, time: str = TIME, tag: str = TAG) -> list[str]:
@@ -79,9 +81,13 @@ def spread(
 ) -> DataFrame:
     """One row per key and one column per listed name, holding the largest value.
 
-    A pivot, whose work per row does not grow with the number of names.
+    Few names are maxima of one aggregation, which shuffles once; many are a pivot, whose work per
+    row does not grow with their number but which shuffles twice.
     """
     listed = df.where(F.col(name).isin(names))
+    if len(names) <= MAXIMA:
+        of = [F.max(F.when(F.col(name) == F.lit(n), F.col(value))).alias(f"__{i}") for i, n in enumerate(names)]
+        return listed.groupBy(*keys).agg(*of).toDF(*keys, *[str(n) for n in names])
     wide = listed.groupBy(*keys).pivot(name, names).agg(F.max(value))
     return wide.toDF(*keys, *[str(n) for n in names])
 

@@ -19,6 +19,7 @@ from ..operators import (
     raw_query,
     result_size,
 )
+from ..operators.reports import FINISHED_QUERY
 from ..sinks import TIME_CHUNK_MS, write_table, write_text
 from ..sources import number_lines, read_lines, scan_orc, scan_parquet
 from ..storage import new_path
@@ -280,7 +281,7 @@ def report_of_latencies(spark, sf_dir):
     path = new_path(spark, "query-log")
     log = events.repartitionByRange("event_id").sortWithinPartitions("event_id")
     write_text(log.select(line.alias("value")), path)
-    lines = number_lines(read_lines(spark, path))
+    lines = number_lines(read_lines(spark, path), F.col("value").rlike(FINISHED_QUERY))
     report = latency_report(lines, ["file", "line_no"], repeats=6)
     return report.withColumn("average_ms", F.round("average_ms", 9))
 

@@ -26,7 +26,7 @@ from ..operators.layout import null_skip
 from ..operators.schema import apply_catalog, merge_schemas, to_struct
 from ..storage import cut, join_measured
 from ..types import DEFAULT_PRECISION, NAME_OF, TEXT, wide_schema
-from .lines import first_lines, number_lines, read_lines
+from .lines import first_lines, head_lines, read_lines
 
 
 @dataclass(frozen=True)
@@ -118,8 +118,7 @@ def infer_file_schemas(
     """
     whole = options.infer_rows is None
     if not whole:
-        numbered = number_lines(lines)
-        lines = numbered.where(F.col("line_no").between(2, options.infer_rows + 1))
+        lines = head_lines(lines, options.infer_rows + 1).where(F.col("line_no") > 1)
     cells = lines.select(
         "file", F.posexplode(options.cells(F.col("value"))).alias("pos", "cell")
     ).select("file", "pos", infer_type_rank(F.col("cell")).alias("rank"))
