@@ -9,8 +9,8 @@ of ``bands`` minima of their shingle hashes agree; a met window is kept if it ho
 With containment 0.8 the similarity of such a window is at least 0.19, and 48 bands of one row retrieve
 it with probability 0.9999 or more; an exact copy (similarity over 0.25) with 0.999999.
 
-Windows that hold none of the templates' minimum shingles cannot meet any template in any band, so
-only those are evaluated that hold one.
+Windows that hold none of the minimum shingles of their templates cannot meet any template in any
+band, so only those are evaluated that hold one.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ def find_licenses(
 
     ``containment`` is the largest share of the template's distinct shingles in one window, and
     ``windows`` counts the windows that hold enough of it. A template needs five words. Null and
-    empty texts and those of under five words hold nothing; rows that repeat an id are one document
+    empty texts and those of under five words hold nothing; licenses whose texts share most of their words
+    are all found, the one that is there with containment 1; rows that repeat an id are one document
     (their windows count once for each row); a null id is kept as such. An empty table or no
     templates give an empty result; other columns are not looked at.
     """
@@ -73,9 +74,10 @@ def find_licenses(
     )
     known_schema = "license string, shingles array<bigint>, step int, minima array<bigint>"
     lookup = spark.createDataFrame([tuple(r) for r in known], known_schema)
-    seeds = sorted({h for r in known for h in r["minima"]})
-    steps = sorted({r["step"] for r in known})
-    if not steps:
+    seeds: dict[int, set[int]] = {}
+    for r in known:
+        seeds.setdefault(r["step"], set()).update(r["minima"])
+    if not seeds:
         return docs.select(
             F.col(f"`{id}`").alias("doc_id"), F.lit("").alias("license"),
             F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("windows"),
@@ -83,17 +85,21 @@ def find_licenses(
     shingled = docs.select(
         F.col(f"`{id}`").alias("doc_id"), _words(text_of(text)).alias("words")
     ).select("doc_id", _shingles("words").alias("all"))
-    # Places of seeds, and the windows around each; starts are multiples of the step.
-    member = "h in (" + ", ".join(f"{h}L" if h > -(1 << 63) else str(h) for h in seeds) + ")"
+
+    def member(value: str, of: set[int]) -> str:
+        return f"{value} in (" + ", ".join(f"{h}L" if h > -(1 << 63) else str(h) for h in sorted(of)) + ")"
+
+    # Places of seeds, and the windows of their steps around each; starts are multiples of the step.
+    any_seed = member("h", set().union(*seeds.values()))
     at = F.expr(
-        f"filter(transform(all, (h, i) -> if({member}, cast(i as bigint), -1L)), i -> i >= 0)"
-    )
-    starts = F.expr(
-        "array_distinct(flatten(transform(at, p -> flatten(transform(array("
-        + ", ".join(f"{s}L" for s in steps)
-        + "), s -> filter(array(named_struct('step', s, 'start', (p div s) * s), "
-        "named_struct('step', s, 'start', (p div s) * s - s)), w -> w.start >= 0))))))"
+        f"filter(transform(all, (h, i) -> if({any_seed}, cast(i as bigint), -1L)), i -> i >= 0)"
     )
+    starts = F.expr("array_distinct(flatten(array(" + ", ".join(
+        f"flatten(transform(filter(at, p -> {member('all[cast(p as int)]', of)}), "
+        f"p -> filter(array(named_struct('step', {s}L, 'start', (p div {s}L) * {s}L), "
+        f"named_struct('step', {s}L, 'start', (p div {s}L) * {s}L - {s}L)), w -> w.start >= 0)))"
+        for s, of in sorted(seeds.items())
+    ) + ")))")
     windows = (
         shingled.withColumn("at", at)
         # An outer generator: a filter that Spark infers for the other kind would go below the
@@ -116,12 +122,3 @@ def find_licenses(
         .groupBy("doc_id", "license")
         .agg(F.max("share").alias("containment"), F.count(F.lit(1)).alias("windows"))
     )
-
-
-# Short notices of public licenses.
-NOTICES = [
-    ("MIT", "Released under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-]

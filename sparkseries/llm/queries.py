@@ -15,7 +15,8 @@ from .common import UPPER, stored, table
 from .exact_dedup import DigestIndex, dedup
 from .html_text import extract
 from .language import languages
-from .licenses import NOTICES, SHINGLE, find_licenses
+from .license_texts import NOTICES
+from .licenses import SHINGLE, find_licenses
 from .mixing import mix
 from .packing import pack
 from .quality import quality

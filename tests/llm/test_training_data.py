@@ -16,7 +16,8 @@ from sparkseries.llm import ann, exact_dedup, html_text, language, secret_scan,
 from sparkseries.llm.ann import nearest
 from sparkseries.llm.components import components
 from sparkseries.llm.exact_dedup import DigestIndex, dedup, without_copies
-from sparkseries.llm.licenses import NOTICES, find_licenses
+from sparkseries.llm.license_texts import NOTICES
+from sparkseries.llm.licenses import find_licenses
 from sparkseries.llm.mixing import mix, mixed
 from sparkseries.llm.packing import ByteBpe, assign, pack
 from sparkseries.llm.quality import good, quality
@@ -303,6 +304,37 @@ def test_licenses(frame):
     assert find_licenses(frame(texts), []).count() == 0
 
 
+def test_altered_license_texts_meet_a_band(frame):
+    """Words replaced at places drawn by chance, inside a longer text: nothing over the containment is lost."""
+    def words(text):
+        return re.sub("[^a-z0-9]+", " ", text.lower()).split()
+
+    def shingles(w):
+        return [" ".join(w[i:i + 5]) for i in range(len(w) - 4)]
+
+    draw = np.random.default_rng(9)
+    filler = [f"w{i}" for i in range(300)]
+    texts = []
+    for k in range(150):
+        body = words(NOTICES[k % len(NOTICES)][1])
+        for at in draw.integers(0, len(body), draw.integers(0, 2 + len(body) // 40)):
+            body[at] = f"other{at}"
+        around = list(draw.choice(filler, draw.integers(0, 400)))
+        texts.append((k, " ".join(around + body + around[:50]), "", ""))
+    want = {}
+    for k, text, _, _ in texts:
+        held = shingles(words(text))
+        for name, body in NOTICES:
+            own = set(shingles(words(body)))
+            step = 1 << (len(own) - 1).bit_length()
+            shares = [len(own & set(held[i:i + 2 * step])) / len(own) for i in range(0, len(held), step)]
+            if shares and max(shares) >= 0.8:
+                want[k, name] = max(shares)
+    got = {(r.doc_id, r.license): r.containment for r in find_licenses(frame(texts), NOTICES).collect()}
+    assert got == pytest.approx(want)
+    assert len(want) > 100 and sum(share < 1 for share in want.values()) > 30
+
+
 def test_nearest_recall_and_scores(spark, duck):
     path = "/root/testdata/sf0.1/embeddings.parquet"
     rows = duck(f"select vec_id, embedding from '{path}' order by 1")
