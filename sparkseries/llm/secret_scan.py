@@ -2,17 +2,19 @@
 
 The patterns give the base spans. The field tags white-space separated tokens as begin, inside or
 outside of a secret from the shapes and words of the token and its neighbours and from features of
-the file. It learns from the base spans of a bounded sample, and from one secret of a few fixed forms
-that is planted into each sampled text, of one token or of several (key blocks, pass phrases, grouped
-codes), so that what looks and stands like them is found where no pattern matches. Tokens that no path can tag as a secret split a text, and what
-lies between them is decoded by Viterbi.
+the file. It learns from the base spans of a bounded sample, and from two secrets of a few fixed forms
+that are planted into each sampled text, one token and several (a key block, pass phrase or grouped
+codes), so that what looks and stands like them is found where no pattern matches. Tokens that no path
+can tag as a secret split a text, and what lies between them is decoded by Viterbi. Long texts are laid
+out by pieces and scored by blocks, and no result depends on where these end.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,14 @@ SHAPES, WORDS, FILES, EDGES = 4096, 2048, 16, 100
 SLOTS = (SHAPES, WORDS, SHAPES, WORDS, SHAPES, WORDS, FILES, EDGES, EDGES, EDGES)
 WINDOW = 16  # tokens of a training example
 PIECE = 1 << 20  # characters that are laid out at a time
+BLOCK = 1 << 16  # tokens that are scored at a time
+PRIME = 0x100000001B3
+# Sums over the characters of a token, and what lies at its two ends.
+SUMS = ("digits", "uppers", "hexas", "lowers", "others", "signs", "turns")
+PART = np.dtype(
+    [(name, np.int64) for name in ("start", "end", *SUMS, "above", "below")]
+    + [("word", np.uint64)] + [(name, np.int8) for name in ("first", "last", "left", "right")]
+)
 LEAST = 6  # characters of a span, as for the assigned ones
 # Signs at the edges of a token: quotes, colon and equal sign, dash, others.
 EDGE_SIGNS = np.zeros(128, np.int64)
@@ -46,6 +56,7 @@ CODES = ("", "recovery code", "backup code", "license key", "activation key", "a
 BLOCKS = ("PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY")
 LEADS = ("", "", "pwd=", "pass=", "auth:", "credential=", "sk_live_", "ghp_", "xoxb-")
 CONTEXT = 24  # tokens that are kept on each side of a planted secret
+FREE = 6  # windows at random places of a text
 TRIM = "\"'`.,;:!?()[]{}<>=*&%$#|"
 
 
@@ -62,69 +73,126 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(spans)
 
 
-def tokens(text: str) -> tuple[np.ndarray, ...]:
-    """``(start, end, shape, word, edge)`` of the white-space separated tokens."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _parts(points: np.ndarray, at: int, lines: int) -> np.ndarray:
+    """The tokens of a piece that starts at ``at`` after ``lines`` line breaks; the outer two can be parts."""
     solid = (points > 32) & (points != 0xA0)
     edge = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
     start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    out = np.zeros(len(start), PART)
     if not len(start):
-        return start, end, start, start, start
+        return out
     c = points[solid]
-    at = np.concatenate(([0], np.cumsum(end - start)[:-1]))
     length = end - start
+    begin = np.concatenate(([0], np.cumsum(length)[:-1]))
     digit = (c >= 48) & (c <= 57)
     upper = (c >= 65) & (c <= 90)
-    hexa = (c >= 97) & (c <= 102)
     lower = (c >= 97) & (c <= 122)
     beyond = c > 126
-    sums = lambda x: np.add.reduceat(x.astype(np.int32), at)
-    digits, uppers, hexas, lowers, others = map(sums, (digit, upper, hexa, lower, beyond))
-    sign = sums((c == 61) | (c == 58))
     kind = (digit + 2 * upper + 4 * (lower | beyond)).astype(np.int8)
     turn = np.zeros(len(c), bool)
     turn[1:] = (kind[1:] != kind[:-1]) & (digit[1:] | digit[:-1])
-    turn[at] = False
-    turns = sums(turn)
+    turn[begin] = False
+    hexa, sign = (c >= 97) & (c <= 102), (c == 61) | (c == 58)
+    for name, of in zip(SUMS, (digit, upper, hexa, lower, beyond, sign, turn)):
+        out[name] = np.add.reduceat(of.astype(np.int32), begin)
+    # The letters of a token, lower-cased, as a hash that parts can be put together from.
+    power = np.full(int(length.max()), PRIME, np.uint64)
+    power[0] = 1
+    place = np.arange(len(c)) - np.repeat(begin, length)
+    low = np.where(upper, c + 32, c).astype(np.uint64) * np.cumprod(power, dtype=np.uint64)[place]
+    out["word"] = np.add.reduceat(np.where(upper | lower | beyond, low, np.uint64(0)), begin)
+    sign = EDGE_SIGNS[np.minimum(points, 127)]
+    breaks = lines + np.concatenate(([0], np.cumsum(points == 10)))
+    out["start"], out["end"] = at + start, at + end
+    out["above"], out["below"] = breaks[start], breaks[end]
+    out["first"], out["last"] = sign[start], sign[end - 1]
+    out["left"], out["right"] = kind[begin], kind[begin + length - 1]
+    return out
+
+
+def _joined(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The token that begins as part ``one`` and goes on as part ``other`` (arrays of one row each)."""
+    out = one.copy()
+    for name in SUMS:
+        out[name] += other[name]
+    out["turns"] += (one["right"] != other["left"]) & ((one["right"] | other["left"]) & 1 > 0)
+    size = int(one["end"][0] - one["start"][0])
+    out["word"] += other["word"] * np.uint64(pow(PRIME, size, 1 << 64))
+    for name in ("end", "below", "last", "right"):
+        out[name] = other[name]
+    return out
+
+
+def _described(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(start, end, shape, word, signs, above, below)`` of whole tokens."""
+    digits, uppers, hexas, lowers, others, signs, turns = (rows[name] for name in SUMS)
+    length = rows["end"] - rows["start"]
     shape = (
         np.searchsorted([3, 6, 10, 16, 20, 28, 40], length, side="right")  # 8
-        + 8 * np.minimum((4 * digits + length - 1) // length, 3)  # 4
+        + 8 * np.minimum((4 * digits + length - 1) // np.maximum(length, 1), 3)  # 4
         + 32 * np.minimum(turns, 3)  # 4
-        + 128 * (uppers > 0) + 256 * (uppers + digits == length) + 512 * (sign > 0)
+        + 128 * (uppers > 0) + 256 * (uppers + digits == length) + 512 * (signs > 0)
         + 1024 * (digits + hexas >= length - 2) + 2048 * (lowers + others > 0)
     )
-    # The letters of a token up to the first sign, lower-cased, as a hash.
-    letter = upper | lower | beyond
-    low = np.where(upper, c + 32, c).astype(np.uint64)
-    place = np.arange(len(c)) - np.repeat(at, length)
-    power = np.power(np.uint64(0x100000001B3), np.arange(12, dtype=np.uint64))
-    # Only the first twelve characters name a token.
-    mixed = np.where(letter & (place < 12), low * power[np.minimum(place, 11)], np.uint64(0))
-    word = np.add.reduceat(mixed, at)
+    word = rows["word"]
     word = (word ^ word >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(53)
+    return (
+        rows["start"], rows["end"], shape.astype(np.int16), word.astype(np.int16),
+        rows["first"] + 5 * rows["last"], rows["above"], rows["below"],
+    )
+
+
+def tokens(text: str) -> tuple[np.ndarray, ...]:
+    """``(start, end, shape, word, edge)`` of the white-space separated tokens."""
+    done, held, lines = [_described(np.zeros(0, PART))], np.zeros(0, PART), 0
+    for at in range(0, len(text), PIECE):
+        piece = text[at:at + PIECE]
+        points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+        rows = _parts(points, at, lines)
+        lines += int((points == 10).sum())
+        if len(held) and len(rows) and held["end"][0] == rows["start"][0]:
+            rows[:1] = _joined(held, rows[:1])
+        elif len(held):
+            rows = np.concatenate((held, rows))
+        # A token that reaches the end of the piece may go on in the next one.
+        whole = len(rows) - int(len(rows) and at + len(piece) < len(text) and rows["end"][-1] == at + len(piece))
+        held = rows[whole:].copy()
+        done.append(_described(rows[:whole]))
+    start, end, shape, word, signs, above, below = map(np.concatenate, zip(*done))
     # The first and last sign of a token, and line breaks or the text's ends beside it.
-    sign = EDGE_SIGNS[np.minimum(points, 127)]
-    lines = np.concatenate(([0], np.cumsum(points == 10)))
-    broken = np.concatenate(([1], lines[start[1:]] - lines[end[:-1]], [1])) > 0
-    edge = sign[start] + 5 * sign[end - 1] + 25 * broken[:-1] + 50 * broken[1:]
-    return start, end, shape.astype(np.int64), word.astype(np.int64), edge
+    broken = np.ones(len(start) + 1, bool)
+    if len(start):
+        broken[1:-1] = above[1:] > below[:-1]
+    return start, end, shape, word, (signs + 25 * broken[:-1] + 50 * broken[1:]).astype(np.int16)
+
 
+def file_feature(shape: np.ndarray) -> int:
+    """How usual tokens that mix digits with letters, and tokens with signs, are in the whole file."""
+    if not len(shape):
+        return 0
+    coded, signs = np.mean((shape & 32 + 64) > 0), np.mean((shape & 512) > 0)
+    return min(3, int(coded * 50)) + 4 * min(3, int(signs * 50))
 
-def features(shape: np.ndarray, word: np.ndarray, edge: np.ndarray, file: int | None = None) -> np.ndarray:
-    """The feature of each token in each slot; neighbours beyond the text are shape, word and edge 0.
 
-    ``file`` is the feature of the file if the tokens are only a part of it.
+def features(
+    shape: np.ndarray, word: np.ndarray, edge: np.ndarray, file: int, first: int = 0, last: int | None = None
+) -> np.ndarray:
+    """The features in each slot of the tokens from ``first`` up to ``last`` of a text.
+
+    Neighbours beyond the text are shape, word and edge 0.
     """
     n = len(shape)
-    out = np.zeros((len(SLOTS), n), np.int64)
+    last = n if last is None else min(last, n)
+    out = np.zeros((len(SLOTS), max(last - first, 0)), np.int64)
+    if last <= first:
+        return out
+    before, after = int(first > 0), int(last < n)
     for slot, own in ((0, shape), (1, word), (7, edge)):
         step = 2 if slot < 7 else 1
-        out[slot] = own
-        out[slot + step, 1:], out[slot + 2 * step, :-1] = own[:-1], own[1:]
-    if n:
-        coded = np.mean((shape & 32 + 64) > 0)
-        signs = np.mean((shape & 512) > 0)
-        out[6] = min(3, int(coded * 50)) + 4 * min(3, int(signs * 50)) if file is None else file
+        out[slot] = own[first:last]
+        out[slot + step, 1 - before:] = own[first - before:last - 1]
+        out[slot + 2 * step, :last - first - 1 + after] = own[first + 1:last + after]
+    out[6] = file
     return out
 
 
@@ -178,28 +246,33 @@ class Field:
 
     def tag(self, feats: np.ndarray) -> np.ndarray:
         """The best tags of one text."""
-        return self.tags([feats])[0]
+        return self.tags([feats.shape[1]], [feats])[0]
 
-    def tags(self, parts: list[np.ndarray]) -> list[np.ndarray]:
-        """The best tags of each text.
+    def tags(self, sizes: list[int], blocks: Iterable[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of texts of ``sizes`` tokens, whose features come in ``blocks`` in their order.
 
         A token whose score for outside exceeds the others by more than the transitions on its two
         sides can make up is outside on every best path, so the rest is decoded between such tokens.
+        Only the scores of the rest are kept, and a run of them goes on over the ends of blocks.
         """
-        sizes = np.array([p.shape[1] for p in parts], np.int64)
         ends = np.cumsum(sizes)
-        e = self.emissions(np.concatenate(parts, axis=1))
-        begin, end = np.zeros(len(e) + 1, bool), np.zeros(len(e) + 1, bool)
+        total = int(ends[-1]) if len(ends) else 0
+        begin, end = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
         begin[ends - sizes] = end[ends - 1] = True
         gain = np.maximum((self.change - self.change[:, [OUTSIDE]]).max(0), 0)
         gain = gain + np.maximum((self.change - self.change[[OUTSIDE]]).max(1), 0)
-        loose = (e[:, [OUTSIDE]] - e[:, 1:] <= gain[1:] + 1e-3).any(1)
-        tags = np.zeros(len(e), np.uint8)
-        at = np.nonzero(loose)[0]
+        places, kept, done = [np.zeros(0, np.int64)], [np.zeros((0, 3))], 0
+        for feats in blocks:
+            e = self.emissions(feats)
+            loose = np.nonzero((e[:, [OUTSIDE]] - e[:, 1:] <= gain[1:] + 1e-3).any(1))[0]
+            places.append(done + loose)
+            kept.append(e[loose])
+            done += len(e)
+        tags = np.zeros(total, np.uint8)
+        at, scores = np.concatenate(places), np.concatenate(kept)
         if len(at):
             first = np.nonzero((np.diff(at, prepend=-2) > 1) | begin[at])[0]
             last = np.append(first[1:], len(at)) - 1
-            scores = e[at].copy()
             scores[first[~begin[at[first]]]] += self.change[OUTSIDE]
             scores[last[~end[at[last]]]] += self.change[:, OUTSIDE]
             tags[at] = best_paths(
@@ -219,16 +292,15 @@ def _gold(start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int, int, i
     return tags
 
 
-def planted(draw: np.random.Generator, words: list[str]) -> tuple[str, str, str]:
+def planted(draw: np.random.Generator, words: list[str], form: int) -> tuple[str, str, str]:
     """What leads to a secret, the secret, and what follows it: one token, key block, phrase or codes.
 
-    Phrases are made of ``words``.
+    Phrases are made of ``words``. ``form`` is the place in that list.
     """
     some = lambda signs, n: "".join(signs[k] for k in draw.integers(0, len(signs), n))
     one = lambda of: of[draw.integers(0, len(of))]
     upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     letters = upper + upper.lower() + digits
-    form = draw.integers(0, 4)
     if form == 0:
         return "", one(LEADS) + some(letters, draw.integers(18, 41)), ""
     if form == 1:
@@ -246,96 +318,135 @@ def planted(draw: np.random.Generator, words: list[str]) -> tuple[str, str, str]
     return lead and lead + sign, " ".join(groups), ""
 
 
-def _plant(text: str, start: np.ndarray, end: np.ndarray, draw: np.random.Generator) -> tuple[str, int, int]:
+def _plant(
+    text: str, start: np.ndarray, end: np.ndarray, draw: np.random.Generator, form: int
+) -> tuple[str, int, int]:
     """The surroundings of a place of ``text``, a secret planted there, and its start and end."""
     at = int(draw.integers(0, len(start)))
     left, right = max(0, at - CONTEXT), min(len(start), at + CONTEXT)
     before, after = text[start[left]:start[at]], text[start[at]:end[right - 1]]
     words = [w for w in (before + after).lower().split() if w.isalpha() and 2 < len(w) < 10]
-    lead, secret, rest = planted(draw, words or ["word", "other"])
+    lead, secret, rest = planted(draw, words or ["word", "other"], form)
     begin = len(before) + len(lead)
     return f"{before}{lead}{secret}{rest} {after}", begin, begin + len(secret)
 
 
-def learn(texts: list[str]) -> Field:
-    """A field learned from the base spans of ``texts`` and one planted secret in each."""
-    draw = np.random.default_rng(5)
-    feats, tags = [], []
+def examples(text: str, windows: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a text gives to learn from: features (n x slots x WINDOW) and tags (n x WINDOW).
 
-    def windows(f: np.ndarray, gold: np.ndarray, begins: np.ndarray, more: int) -> None:
+    Windows lie around base spans (``windows`` of them at most, drawn at random), at ``FREE`` random
+    places and at both ends of two secrets that are planted, one token and one of another form. A text of fewer tokens than a window gives none.
+    """
+    feats, tags = np.zeros((0, len(SLOTS), WINDOW), np.int16), np.zeros((0, WINDOW), np.int8)
+    start, end, *kinds = tokens(text)
+    if len(start) < WINDOW:
+        return feats, tags
+    draw = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    file = file_feature(kinds[0])
+
+    def cut(kinds: list[np.ndarray], gold: np.ndarray, begins: np.ndarray, more: int) -> None:
+        nonlocal feats, tags
         top = len(gold) - WINDOW
         at = set(np.clip(begins - draw.integers(2, WINDOW - 2, len(begins)), 0, top).tolist())
         at |= set(draw.integers(0, top + 1, more).tolist())
-        for a in sorted(at):
-            feats.append(f[:, a:a + WINDOW])
-            tags.append(gold[a:a + WINDOW])
-
-    for text in texts:
-        start, end, *kinds = tokens(text)
-        if len(start) < WINDOW:
-            continue
-        f, gold = features(*kinds), _gold(start, end, base_spans(text))
-        windows(f, gold, np.nonzero(gold == BEGIN)[0], 3)
-        part, begin, stop = _plant(text, start, end, draw)
-        start, end, *kinds = tokens(part)
-        if len(start) < WINDOW:
+        found = [features(*kinds, file, a, a + WINDOW) for a in sorted(at)]
+        feats = np.concatenate((feats, np.stack(found).astype(np.int16)))
+        tags = np.concatenate((tags, np.stack([gold[a:a + WINDOW] for a in sorted(at)]).astype(np.int8)))
+
+    gold = _gold(start, end, base_spans(text))
+    begins = np.nonzero(gold == BEGIN)[0]
+    if len(begins) > windows:
+        begins = np.sort(draw.choice(begins, windows, replace=False))
+    cut(kinds, gold, begins, FREE)
+    for form in (0, int(draw.integers(1, 4))):
+        part, begin, stop = _plant(text, start, end, draw, form)
+        a, b, *kinds = tokens(part)
+        if len(a) < WINDOW:
             continue
         spans = [(begin, 3, stop, begin)]
         spans += [s for s in base_spans(part) if s[2] <= begin or stop <= s[0]]
-        gold = _gold(start, end, spans)
-        a = int(np.searchsorted(end, begin, side="right"))
-        b = int(np.searchsorted(start, stop))
+        one, after = int(np.searchsorted(b, begin, side="right")), int(np.searchsorted(a, stop))
         # The secret's start, and its end with what follows.
-        windows(features(*kinds, file=int(f[6, 0])), gold, np.unique([a, max(a, b - 2)]), 0)
+        cut(kinds, _gold(a, b, spans), np.unique([one, max(one, after - 2)]), 0)
+    return feats, tags
+
+
+def learn(parts: list[tuple[np.ndarray, np.ndarray]]) -> Field:
+    """A field learned from the :func:`examples` of texts."""
     field = Field()
-    if feats:
-        field.fit(np.stack(feats, axis=1), np.stack(tags))
+    if sum(len(tags) for _, tags in parts):
+        feats, tags = map(np.concatenate, zip(*parts))
+        field.fit(feats.astype(np.int64).transpose(1, 0, 2), tags.astype(np.int64))
     return field
 
 
-def train(docs: DataFrame, id: str = "doc_id", text: str = "text", rows: int = 3000) -> Field:
-    """A field learned from at most ``rows`` texts, those of the least hashes of the id."""
+def train(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", rows: int = 3000, windows: int = 64
+) -> Field:
+    """A field learned from at most ``rows`` texts, those of the least hashes of the id.
+
+    Tasks make the examples, of which the driver gets at most ``windows + FREE + 3`` for each text.
+    """
     sample = (
         docs.select(F.col(f"`{id}`").alias("key")).where("key is not null").distinct()
         .orderBy(F.xxhash64("key"), "key").limit(rows)
     )
+
+    @F.pandas_udf("feats binary, tags binary")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        both = [examples(text, windows) for text in texts]
+        return pd.DataFrame([(f.tobytes(), t.tobytes()) for f, t in both], columns=["feats", "tags"])
+
     found = (
         docs.select(F.col(f"`{id}`").alias("key"), text_of(text).alias("text"))
         .join(F.broadcast(sample), "key").groupBy("key").agg(F.min("text").alias("text"))
-        .orderBy("key").collect()
+        .select("key", made("text").alias("made")).select("key", "made.*").orderBy("key").collect()
     )
-    return learn([row["text"] for row in found])
+    return learn([
+        (np.frombuffer(row["feats"], np.int16).reshape(-1, len(SLOTS), WINDOW),
+         np.frombuffer(row["tags"], np.int8).reshape(-1, WINDOW))
+        for row in found
+    ])
+
+
+def _groups(texts: list[str]) -> Iterator[list[int]]:
+    """Places of texts that are decoded together: a piece's characters, or one longer text."""
+    group, size = [], 0
+    for k, text in enumerate(texts):
+        if group and size + len(text) > PIECE:
+            yield group
+            group, size = [], 0
+        group.append(k)
+        size += len(text)
+    if group:
+        yield group
+
+
+def _blocks(laid: list[tuple[np.ndarray, ...]]) -> Iterator[np.ndarray]:
+    """The features of all tokens of texts, some of a text or some texts at a time."""
+    held, n = [], 0
+    for _, _, *kinds in laid:
+        file = file_feature(kinds[0])
+        for a in range(0, len(kinds[0]), BLOCK):
+            held.append(features(*kinds, file, a, a + BLOCK))
+            n += held[-1].shape[1]
+            if n >= BLOCK:
+                yield np.concatenate(held, axis=1)
+                held, n = [], 0
+    if held:
+        yield np.concatenate(held, axis=1)
 
 
 def field_spans(
     field: Field, texts: list[str], bases: list[list[tuple[int, int, int, int]]]
 ) -> list[list[tuple[int, int, int]]]:
-    """``(start, kind, end)`` of what the field adds to the base spans of each text.
-
-    Pieces of several texts are decoded together.
-    """
+    """``(start, kind, end)`` of what the field adds to the base spans of each text."""
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    takens = [_Taken(base) for base in bases]
-    todo = [(k, 0) for k in range(len(texts) - 1, -1, -1) if texts[k]]
-    while todo:
-        pieces, size = [], 0
-        while todo and (not pieces or size + len(texts[todo[-1][0]]) - todo[-1][1] <= PIECE):
-            k, at = todo.pop()
-            text = texts[k]
-            stop = min(len(text), at + PIECE)
-            if stop < len(text):
-                cut = max(text.rfind(" ", at + 1, stop), text.rfind("\n", at + 1, stop))
-                stop = cut + 1 if cut > 0 else stop
-            size += stop - at
-            pieces.append((k, at, stop, *tokens(text[at:stop])))
-        found = [p for p in pieces if len(p[3])]
-        tags = field.tags([features(*p[5:]) for p in found]) if found else []
-        tags_of = {p[0]: t for p, t in zip(found, tags)}
-        for k, at, stop, start, end, *_ in pieces:
-            if len(start):
-                stop = _spans(texts[k], at, stop, start, end, tags_of[k], takens[k], added[k])
-            if stop < len(texts[k]):
-                todo.append((k, stop))
+    for group in _groups(texts):
+        laid = [tokens(texts[k]) for k in group]
+        tags = field.tags([len(start) for start, *_ in laid], _blocks(laid))
+        for k, (start, end, *_), own in zip(group, laid, tags):
+            added[k] = _spans(texts[k], start, end, own, _Taken(bases[k]))
     return added
 
 
@@ -351,19 +462,17 @@ class _Taken:
 
 
 def _spans(
-    text: str, at: int, stop: int, start: np.ndarray, end: np.ndarray, tags: np.ndarray, taken: _Taken,
-    added: list[tuple[int, int, int]],
-) -> int:
-    """Add the spans of a piece ``[at, stop)`` and return where the next one starts."""
+    text: str, start: np.ndarray, end: np.ndarray, tags: np.ndarray, taken: _Taken
+) -> list[tuple[int, int, int]]:
+    """The tagged spans of a text without what meets its base spans."""
+    added = []
     before = np.append(np.uint8(OUTSIDE), tags[:-1])
     for i in np.nonzero((tags == BEGIN) | (tags == INSIDE) & (before == OUTSIDE))[0]:
         j = i
         while j + 1 < len(tags) and tags[j + 1] == INSIDE:
             j += 1
-        if j + 3 >= len(tags) and stop < len(text) and i > 0:
-            return at + int(start[i])  # it may go on, so the next piece starts with it
         # Tokens that meet a base span are left out, also within a span of several.
-        a, b = start[i:j + 1] + at, end[i:j + 1] + at
+        a, b = start[i:j + 1], end[i:j + 1]
         edge = np.diff(np.concatenate(([0], taken.free(a, b).view(np.int8), [0])))
         for m, n in zip(np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0] - 1):
             x, y = int(a[m]), int(b[n])
@@ -373,7 +482,7 @@ def _spans(
                 y -= 1
             if y - x >= LEAST:
                 added.append((x, 3, y))
-    return stop
+    return added
 
 
 def secrets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
