@@ -400,12 +400,12 @@ def train(
     found = (
         docs.select(F.col(f"`{id}`").alias("key"), text_of(text).alias("text"))
         .join(F.broadcast(sample), "key").groupBy("key").agg(F.min("text").alias("text"))
-        .select("key", made("text").alias("made")).select("key", "made.*").orderBy("key").collect()
+        .select("key", made("text").alias("made")).select("key", "made.*").collect()
     )
     return learn([
         (np.frombuffer(row["feats"], np.int16).reshape(-1, len(SLOTS), WINDOW),
          np.frombuffer(row["tags"], np.int8).reshape(-1, WINDOW))
-        for row in found
+        for row in sorted(found, key=lambda row: row["key"])
     ])
 
 
