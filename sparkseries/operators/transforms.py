@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import TAG, TIME
-from ..storage import cut, join_measured, join_null_safe
+from ..storage import cut, join_measured
+from .grams import GRAM, count_grams, held_grams, id_grams, marks
 from .ranking import number_rows
 
 # Copies appended by an extension, and the share of batches that are shuffled.
 EXTENSION_COPIES = 1000
 SHUFFLED_SHARE = 0.1
-# Characters of the grams by which ids are looked for in lines.
-GRAM = 6
 
 
 def jitter_time(
@@ -92,37 +91,34 @@ def extend_series(
 def lines_with_ids(lines: DataFrame, ids: DataFrame, text: str, key: str, on: str) -> DataFrame:
     """``lines`` with each listed id that their text contains as column ``on``, a row for each pair.
 
-    An id is looked for by its rarest gram: grams of the ids are counted over all lines, the lines that
-    hold the chosen one are candidates, and their texts are searched. Ids too short for a gram have
-    grams of the length of the shortest of them. Null and empty ids and null texts match nothing; repeated ids count once; repeated
-    rows and keys, also null ones, keep their rows. ``lines`` has no column ``on``.
+    An id of up to seven bytes is a gram, and the lines that hold the gram are its lines. A longer id is
+    looked for by its rarest gram of seven bytes: grams of the ids are counted over all lines, and the
+    lines that hold the chosen one are searched. Null and empty ids and null texts match nothing;
+    repeated ids count once; repeated rows and keys, also null ones, keep their rows. ``lines`` has no
+    column ``on``.
     """
-    wanted = ids.select(F.col(f"`{on}`").cast("string").alias("__id")).where(F.length("__id") > 0)
-    wanted = cut(wanted.distinct())
-    shortest = wanted.agg(F.min(F.length("__id"))).first()[0] or GRAM
-    sizes = sorted({min(shortest, GRAM), GRAM})
-    chars = lines.select(F.col(f"`{key}`").alias("__key"), F.split(f"`{text}`", "").alias("c"))
-    grams = ", ".join(
-        f"if(size(c) < {n}, cast(array() as array<string>), transform(sequence(0, size(c) - {n}), i -> "
-        f"concat({', '.join(f'c[i + {k}]' for k in range(n))})))"
-        for n in sizes
-    )
-    held = chars.select("__key", F.explode(F.expr(f"array_distinct(concat({grams}))")).alias("__gram"))
-    size = F.when(F.length("__id") < GRAM, F.lit(sizes[0])).otherwise(F.lit(GRAM))
-    places = F.sequence(F.lit(1), F.length("__id") - F.col("size") + 1)
-    own = wanted.withColumn("size", size).select("__id", F.explode(F.array_distinct(
-        F.transform(places, lambda i: F.substr(F.col("__id"), i, F.col("size")))
-    )).alias("__gram"))
-    looked_for = cut(own.select("__gram").distinct())
-    counts = join_measured(held.select("__gram"), looked_for, ["__gram"]).groupBy("__gram").count()
-    anchors = cut(
-        own.join(counts, "__gram", "left")
-        .groupBy("__id").agg(F.min_by("__gram", F.struct(F.coalesce("count", F.lit(0)), "__gram")).alias("__gram"))
-    )
-    met = join_measured(held, anchors, ["__gram"]).select("__key", "__id").distinct()
-    rows = lines.select(*[F.col(f"`{c}`") for c in lines.columns], F.col(f"`{key}`").alias("__key"))
-    found = join_null_safe(rows, met, ["__key"]).where(F.contains(F.col(f"`{text}`"), F.col("__id")))
-    return found.drop("__key").withColumnRenamed("__id", on)
+    wanted = ids.select(F.col(f"`{on}`").cast("string").alias("__id")).where(F.length("__id") > 0).distinct()
+    listed = wanted.select("__id", F.arrow_udf(id_grams, "array<bigint>")("__id").alias("grams"))
+    own = cut(listed.select("__id", F.explode("grams").alias("gram")))
+    whole = F.octet_length("__id") <= GRAM
+    sizes = sorted(r[0] for r in own.where(whole).select(F.octet_length("__id")).distinct().collect())
+    texts = lines.select(F.col(f"`{text}`").cast("string").alias("__text"))
+    short, long = own.where(whole), own.where(~whole)
+
+    def holding(anchors: DataFrame, sizes: list[int]) -> DataFrame:
+        grams = held_grams(sizes, marks(anchors))(F.col(f"`{text}`").cast("string"))
+        held = lines.withColumn("__grams", grams).select(
+            *[F.col(f"`{c}`") for c in lines.columns], F.explode("__grams").alias("gram"))
+        return join_measured(held, anchors, ["gram"]).drop("gram").withColumnRenamed("__id", on)
+
+    found = holding(short, sizes) if sizes else None
+    if sizes and long.isEmpty():
+        return found
+    counts = count_grams(texts, [GRAM], marks(long.select("gram").distinct()))
+    anchors = cut(long.join(counts, "gram", "left").groupBy("__id").agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")))
+    searched = holding(anchors, [GRAM]).where(F.contains(F.col(f"`{text}`"), F.col(on)))
+    return searched if found is None else found.unionByName(searched)
 
 
 def split_by_id(readings: DataFrame, ids: DataFrame, on: str) -> DataFrame:
