@@ -15,6 +15,9 @@ from .ranking import number_rows
 # Copies appended by an extension, and the share of batches that are shuffled.
 EXTENSION_COPIES = 1000
 SHUFFLED_SHARE = 0.1
+# Folders that a task writes when rows are split by id, and rows of one of their files.
+TASK_FOLDERS = 200
+FILE_ROWS = 1_000_000
 
 
 def jitter_time(
@@ -133,9 +136,16 @@ def write_split(
     """A folder for each listed id that has readings, with the columns ``fields``.
 
     With ``text`` and ``key`` the readings of an id are the rows whose text contains it
-    (:func:`lines_with_ids`).
+    (:func:`lines_with_ids`). The folders are dealt to tasks by id, so that each task writes a bounded
+    number of them; an id with very many readings has several files.
     """
     listed = split_by_id(readings, ids, on) if text is None else lines_with_ids(readings, ids, text, key, on)
-    listed = listed.select(on, *fields)
-    clustered = listed.hint("rebalance", on).sortWithinPartitions(on, *fields)
+    listed = cut(listed.select(on, *fields))
+    sizes = cut(listed.groupBy(on).agg((F.count(F.lit(1)) / FILE_ROWS).cast("bigint").alias("__more")))
+    files = sizes.agg(F.sum(F.col("__more") + 1)).first()[0] or 0
+    hot = sizes.where("__more > 0")
+    deal = F.pmod(F.monotonically_increasing_id(), F.coalesce("__more", F.lit(0)) + 1)
+    dealt = join_measured(listed, hot, [on], "left").withColumn("__file", deal)
+    parts = max(1, -(-files // TASK_FOLDERS))
+    clustered = dealt.repartition(parts, on, "__file").sortWithinPartitions(on, *fields).select(on, *fields)
     clustered.write.mode(mode).partitionBy(on).parquet(path)

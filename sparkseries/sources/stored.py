@@ -10,14 +10,22 @@ from ..operators.queries import between
 
 
 def open_table(spark: SparkSession, path: str, file_format: str) -> DataFrame:
-    """The table at ``path``; values of folder names stay texts, so that a device 007 keeps its name."""
-    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    """The table at ``path``; values of folder names stay texts, so that a device 007 keeps its name.
+
+    Folders are listed by a few tasks for each core, not by one for each folder.
+    """
+    settings = {
+        "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism),
+    }
+    before = {key: spark.conf.get(key) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         table = spark.read.format(file_format).load(path)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     if "time_chunk" in table.columns:
         table = table.withColumn("time_chunk", F.col("time_chunk").cast("bigint"))
     return table
