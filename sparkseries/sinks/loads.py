@@ -21,6 +21,8 @@ from ..storage import new_path
 from .tables import COMPRESSION, TIME_CHUNK_MS, with_time_chunk
 
 ROWS_PER_FILE = 1_000_000
+# Rows that a task sorts and cuts into files, if a file does not take more.
+TASK_ROWS = 200_000
 LEDGER = "load string, chunk bigint, time string, tag string, rows bigint, files bigint"
 LOAD_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 
@@ -38,8 +40,8 @@ def load_table(
 ) -> bool:
     """Store ``df`` as the load of that name; false if the table has it, and nothing is done.
 
-    The input is computed once, into a staged copy. The copy is cut by range of chunk, device and
-    time into files of about ``rows_per_file`` rows, so a device of a chunk lies in as many
+    The input is computed once, into a staged copy. The copy is dealt by range of chunk, device and
+    time to tasks, and each cuts its range into files of ``rows_per_file`` rows at most, so a device of a chunk lies in as many
     files as its rows need and at most two that it shares, and a device with very many rows is
     split by time. ``counts`` hold the present points of ``fields`` (all others by default).
     ``overwrite`` makes the load the only one of the table. A load that failed is done again as a
@@ -55,13 +57,14 @@ def load_table(
     staged_at = new_path(spark, "staged")
     with_time_chunk(df, chunk, time).withColumn("__row", F.monotonically_increasing_id()).write.parquet(staged_at)
     staged = spark.read.parquet(staged_at)
-    number = max(1, -(-staged.count() // rows_per_file))
+    # Spark samples rows for each range on the driver: as many ranges as tasks need, not as files.
+    number = max(1, -(-staged.count() // max(rows_per_file, TASK_ROWS)))
     order = ["time_chunk", tag, time, "__row"]
     rows_at = f"{path}/rows/load={load}"
     (
         staged.repartitionByRange(number, *order).sortWithinPartitions(*order).drop("__row")
         .write.mode("overwrite").partitionBy("time_chunk").option("compression", COMPRESSION)
-        .parquet(rows_at)
+        .option("maxRecordsPerFile", rows_per_file).parquet(rows_at)
     )
     rows = spark.read.schema(staged.drop("__row").schema).parquet(rows_at)
     rows.groupBy(decoded_path(F.col("_metadata.file_path")).alias("file"), "time_chunk").agg(

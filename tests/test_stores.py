@@ -50,6 +50,27 @@ def test_loads_hold_once(spark, points, stored):
         ("l0", len(points[0::2])), ("l1", len(points[1::2]))]
 
 
+def test_ranges_follow_the_work_and_files_their_rows(spark, tmp_path, monkeypatch):
+    """Rows sampled on the driver grow with the ranges, so these do not follow the number of files."""
+    rows = spark.createDataFrame([(t, f"d{t % 3}", 1.0) for t in range(600)], SCHEMA)
+    ranges, deal = [], type(rows).repartitionByRange
+
+    def counted(self, number, *columns):
+        ranges.append(number)
+        return deal(self, number, *columns)
+
+    monkeypatch.setattr(type(rows), "repartitionByRange", counted)
+    path = str(tmp_path / "t")
+    load_table(rows, path, "one", rows_per_file=5, chunk=1000)
+    assert ranges == [1]
+    files = spark.read.parquet(f"{path}/files").orderBy("first_tag", "first_time").collect()
+    assert len(files) == 120 and {f.rows for f in files} == {5}
+    assert all((a.last_tag, a.last_time) < (b.first_tag, b.first_time) for a, b in zip(files, files[1:]))
+    monkeypatch.setattr("sparkseries.sinks.loads.TASK_ROWS", 100)
+    load_table(rows, path, "two", rows_per_file=5, chunk=1000)
+    assert ranges == [1, 6] and loaded_rows(spark, path).count() == 1200
+
+
 def test_a_load_that_failed_is_not_read_and_is_done_again(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     load_table(spark.createDataFrame([(1, "a", 1.0)], SCHEMA), path, "one")
