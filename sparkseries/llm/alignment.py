@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 from .packing import ByteBpe
 
-# A block ends after so many bytes of text (a longer document is a block) or so many documents.
-BLOCK_BYTES = 4 << 20
+# A block ends after so many bytes of text (a longer document is a block) or so many documents. A
+# task holds about 80 bytes for each byte of its block, beside 290 MB for the tokenizers.
+BLOCK_BYTES = 2 << 20
 BLOCK_DOCS = 5_000
 # Ends of the driving list that start one search; those between them start where it ended.
 STRIDE = 32

@@ -139,3 +139,12 @@ def test_overlaps_of_random_cuts():
         common_a, common_b, link_a, link_b = overlaps(a, b)
         assert list(zip(link_a.tolist(), link_b.tolist())) == want
         assert a[common_a].tolist() == b[common_b].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
+
+
+def test_a_block_holds_two_megabytes_of_text(spark):
+    """A task's memory follows its block: about 80 bytes for each byte of text."""
+    text = "plain words of a text " * 2000
+    docs = spark.createDataFrame([(i, text) for i in range(60)], "doc_id long, text string").coalesce(1)
+    blocks = alignment._blocks(docs, A, B, "doc_id", "text").selectExpr("size(docs) as n").collect()
+    assert sum(r.n for r in blocks) == 60
+    assert max(r.n for r in blocks) * len(text) < (2 << 20) + len(text)
