@@ -10,6 +10,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import epoch_ms
 from ..operators import align_query, lines_with_ids, result_size, shuffle_batches, write_split
 from ..sinks import write_table
 from ..sources import (
@@ -93,7 +94,8 @@ def lines_of_numbered_files(spark, sf_dir):
 def tdrive_files(spark, sf_dir):
     """A file for each taxi, named by it; the id in the lines is another."""
     line = F.concat_ws(
-        ",", F.lit("0"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("value").cast("string"),
+        ",", F.lit("0"), F.date_format(F.timestamp_millis(epoch_ms(F.col("ts"))), "yyyy-MM-dd HH:mm:ss"),
+        F.col("value").cast("string"),
         F.col("event_id").cast("string"),
     )
     name = F.concat(F.col("user_id").cast("string"), F.lit(".txt"))
