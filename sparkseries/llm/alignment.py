@@ -6,11 +6,13 @@ is searched in the longer one with steps that double, then by halves. Common end
 into groups; the ranks found say which tokens overlap.
 
 Documents are worked on in blocks. A block keeps each pair of ids once, with its links, so that a
-pair that is in every text crosses the network once for each block and not for each link.
+pair that is in every text crosses the network once for each block and not for each link. A block is
+made of pieces, of which one at a time is held as tokens; only links and numbers stay of the others.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +25,11 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 from .packing import ByteBpe
 
-# A block ends after so many bytes of text (a longer document is a block) or so many documents. A
-# task holds about 80 bytes for each byte of its block, beside 290 MB for the tokenizers.
+# A block ends after so many bytes of text (a longer document is a block) or so many documents.
 BLOCK_BYTES = 2 << 20
 BLOCK_DOCS = 5_000
+# A piece ends after so many bytes. A task holds about 80 bytes for each byte of its piece.
+PIECE_BYTES = 128 << 10
 # Ends of the driving list that start one search; those between them start where it ended.
 STRIDE = 32
 
@@ -157,6 +160,52 @@ class Pair:
         return documents, pairs, counts, links
 
 
+class Block:
+    """Documents of one block, put together from pieces; with ``digest``, groups as their SHA-256.
+
+    ``size`` is the bytes of all texts so far; a piece ends after ``piece_bytes``.
+    """
+
+    def __init__(self, pair: Pair, piece_bytes: int, digest: bool = False) -> None:
+        self.pair, self.piece_bytes, self.digest = pair, piece_bytes, digest
+        self.ids, self.documents, self.parts, self.size = [], [], [], 0
+        self.texts, self.piece = [], 0
+
+    def add(self, id: object, text: str) -> None:
+        self.ids.append(id)
+        self.texts.append(text)
+        size = len(text.encode())
+        self.size += size
+        self.piece += size
+        if self.piece >= self.piece_bytes:
+            self.end_piece()
+
+    def end_piece(self) -> None:
+        if self.texts:
+            documents, pairs, counts, links = self.pair.block(self.texts)
+            if self.digest:
+                documents = [
+                    (*d[:4], hashlib.sha256(d[4].encode()).hexdigest() if d[4] else "") for d in documents
+                ]
+            self.documents += documents
+            self.parts.append((pairs, counts, links))
+            self.texts, self.piece = [], 0
+
+    def end(self) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`Pair.block` of all texts."""
+        self.end_piece()
+        pairs, place = np.unique(np.concatenate([p for p, _, _ in self.parts]), return_inverse=True)
+        counts = np.zeros(len(pairs), np.int64)
+        links, at = [], 0
+        for own, n, places in self.parts:
+            # Pairs go up in both, so the links of a document still do.
+            now = place[at:at + len(own)]
+            counts[now] += n
+            links.append(now.astype("<u4")[places])
+            at += len(own)
+        return self.documents, pairs, counts, np.concatenate(links)
+
+
 def _pressed(links: np.ndarray) -> bytes:
     """Places as steps, their bytes by significance, compressed."""
     steps = np.diff(links, prepend=links.dtype.type(0)).view(np.uint8).reshape(-1, 4)
@@ -172,7 +221,9 @@ DOCUMENT = "doc_id {id}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint
 BLOCK = "block bigint, docs array<struct<{docs}>>, pairs array<bigint>, counts array<bigint>, links binary"
 
 
-def _blocks(docs: DataFrame, path_a: str, path_b: str, id: str, text: str) -> DataFrame:
+def _blocks(
+    docs: DataFrame, path_a: str, path_b: str, id: str, text: str, digest: bool = False
+) -> DataFrame:
     kind = docs.schema[id].dataType.simpleString()
     fields = DOCUMENT.format(id=kind)
     schema = BLOCK.format(docs=fields.replace(" ", ":").replace(",:", ","))
@@ -180,11 +231,11 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, id: str, text: str) -> Da
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(path_a, path_b)
         number = TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
+        block = Block(pair, PIECE_BYTES, digest)
 
-        def block() -> pa.RecordBatch:
-            documents, pairs, counts, links = pair.block(texts)
-            columns = [pa.array(ids, id_type), *(
+        def row() -> pa.RecordBatch:
+            documents, pairs, counts, links = block.end()
+            columns = [pa.array(block.ids, id_type), *(
                 pa.array(c, pa.string() if k == 4 else pa.int64()) for k, c in enumerate(zip(*documents))
             )]
             rows = pa.StructArray.from_arrays(columns, names=[f.split()[0] for f in fields.split(", ")])
@@ -201,15 +252,13 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, id: str, text: str) -> Da
         for batch in batches:
             id_type = batch.schema.field(0).type
             for name, value in zip(batch.column(0), batch.column(1)):
-                ids.append(name.as_py())
-                texts.append(value.as_py())
-                size += len(texts[-1].encode())
-                if size >= BLOCK_BYTES or len(texts) >= BLOCK_DOCS:
-                    yield block()
+                block.add(name.as_py(), value.as_py())
+                if block.size >= BLOCK_BYTES or len(block.ids) >= BLOCK_DOCS:
+                    yield row()
                     number += 1
-                    ids, texts, size = [], [], 0
-        if texts:
-            yield block()
+                    block = Block(pair, PIECE_BYTES, digest)
+        if block.ids:
+            yield row()
 
     return docs.select(F.col(f"`{id}`").alias("doc_id"), text_of(text).alias("text")).mapInArrow(blocks, schema)
 
@@ -237,12 +286,7 @@ def align(
     links of a document. With ``digest``, ``groups`` is its SHA-256 in lower-case hex, '' without
     tokens, and the text itself is not stored meanwhile.
     """
-    blocks = _blocks(docs, path_a, path_b, id, text)
-    if digest:
-        blocks = blocks.withColumn("docs", F.transform("docs", lambda d: d.withField(
-            "groups", F.when(d["groups"] == "", "").otherwise(F.sha2(d["groups"].cast("binary"), 256))
-        )))
-    blocks = stored(blocks, "blocks")
+    blocks = stored(_blocks(docs, path_a, path_b, id, text, digest), "blocks")
     held = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "pair")).select(
         "block", "place", F.col("pair.pairs").alias("pair"), F.col("pair.counts").alias("n")
     )

@@ -1,6 +1,7 @@
 """Alignment against a plain walk over bytes, and on awkward rows."""
 
 import hashlib
+import tracemalloc
 from bisect import bisect_left
 from collections import Counter
 
@@ -148,3 +149,50 @@ def test_a_block_holds_two_megabytes_of_text(spark):
     blocks = alignment._blocks(docs, A, B, "doc_id", "text").selectExpr("size(docs) as n").collect()
     assert sum(r.n for r in blocks) == 60
     assert max(r.n for r in blocks) * len(text) < (2 << 20) + len(text)
+
+
+def random_texts(many, words):
+    draw = np.random.default_rng(4)
+    stock = ["plain", "tokenizer", "αβγ", "😀", "isn't", "3.14", "\t", "wörter", "x_y", "", "<s>"]
+    return [" ".join(draw.choice(stock, int(draw.integers(0, words)))) for _ in range(many)]
+
+
+@pytest.mark.parametrize("digest", [False, True])
+def test_a_block_of_pieces_is_the_block_of_all_texts(digest):
+    pair = alignment.Pair(A, B)
+    texts = ["", *random_texts(60, 200), "", "", "word " * 900, ""]
+    documents, *numbers = pair.block(texts)
+    if digest:
+        documents = [(*d[:4], hashlib.sha256(d[4].encode()).hexdigest() if d[4] else "") for d in documents]
+    for piece_bytes in (1, 700, 1 << 20):
+        block = alignment.Block(pair, piece_bytes, digest)
+        for k, text in enumerate(texts):
+            block.add(k, text)
+        got, *own = block.end()
+        assert got == documents and block.size == sum(len(t.encode()) for t in texts)
+        assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(own, numbers))
+
+
+def test_a_task_holds_the_tokens_of_a_piece_only():
+    """Two megabytes of text took 175 MB of Python's memory when a block was worked on as a whole."""
+    pair = alignment.Pair(A, B)
+    texts = random_texts(400, 1900)
+    assert sum(len(t.encode()) for t in texts) > 1_500_000
+    tracemalloc.start()
+    block = alignment.Block(pair, alignment.PIECE_BYTES, digest=True)
+    for k, text in enumerate(texts):
+        block.add(k, text)
+    block.end()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
+def test_small_pieces_and_digests_of_the_task(spark, plain, monkeypatch):
+    monkeypatch.setattr(alignment, "PIECE_BYTES", 10)
+    assert rows(align(odd(spark), A, B, digest=True)) == sorted(expected(plain, ODD), key=str)
+    texts = {plain(t)[0] for _, t in ODD}
+    assert {r.groups for r in align(odd(spark), A, B).collect()} == texts
+    hashes = {hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts}
+    blocks = alignment._blocks(odd(spark), A, B, "doc_id", "text", digest=True)
+    assert {r.groups for r in blocks.selectExpr("inline(docs)").collect()} == hashes
